@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ricepaper.llm import encoding, lookalike, neighbours, packing
+from ricepaper.llm import encoding, lookalike, neighbours, packing, pairs, reading
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,15 @@ def p2_canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.with_canonical(names, "name")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(_table(spark, sf_dir, "answers"))
+
+
+def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label that passes its cutoff, several of a pair included."""
+    return pairs.defect_labels(_table(spark, sf_dir, "answers"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_pairs(_table(spark, sf_dir, "points"))
 
@@ -57,15 +66,29 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(packing.materialize(_packed(spark, sf_dir), "packed"), _table(spark, sf_dir, "prompt_windows"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_labels"))
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source and level."""
+    levels = p8_found(spark, sf_dir)
+    return levels.join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_canonical_names": p2_canonical_names,
+    "p3_found": p3_found,
+    "p3_labels": p3_labels,
     "p5_found": p5_found,
     "p5_top5": p5_top5,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
     "p7_prompts": p7_prompts,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_profile": p8_profile,
 }
 
 SQL: dict[str, str] = {
