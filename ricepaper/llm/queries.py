@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ricepaper.llm import encoding, lookalike, neighbours, packing, pairs, reading
+from ricepaper.llm import encoding, lookalike, neighbours, noise, packing, pairs, reading
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noise.noise_cases(_table(spark, sf_dir, "chunks"))
+
+
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's text as continuous paragraphs."""
+    return noise.repaired_texts(_table(spark, sf_dir, "chunks"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_look_pairs(_table(spark, sf_dir, "knowledge_graph"), _table(spark, sf_dir, "aliases"))
 
@@ -77,6 +86,8 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_texts": p1_texts,
     "p2_found": p2_found,
     "p2_canonical_names": p2_canonical_names,
     "p3_found": p3_found,
