@@ -7,10 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ricepaper.operators import hierarchy
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ricepaper.plans import text_queries
+from ricepaper.plans.tables import table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +22,7 @@ def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_descendants": p4_descendants,
+    **text_queries.QUERIES,
 }
 
 _LINKS = """
@@ -56,4 +55,5 @@ SQL: dict[str, str] = {
         k AS (SELECT a, count(*) AS many FROM d GROUP BY a)
         SELECT n AS course_id, d.b AS descendant_id, coalesce(k.many, 0) AS subtree_size
         FROM ends LEFT JOIN d ON d.a = n LEFT JOIN k ON k.a = n WHERE n NOT IN (SELECT n FROM cyc)""",
+    **text_queries.SQL,
 }
