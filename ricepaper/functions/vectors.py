@@ -15,6 +15,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def unit(a: Column, least: float = 1e-10) -> Column:
+    """The vector over its length plus ``least``."""
+    return F.zip_with(F.transform(a, lambda x: x.cast("double")), F.array_repeat(norm(a) + least, F.size(a)), lambda x, n: x / n)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 where a norm is 0."""
     size = norm(a) * norm(b)
@@ -33,7 +38,9 @@ def hash_embedding(tokens: Column, size: int = 64) -> Column:
     The deterministic stand-in for a sentence encoder; all zero for no tokens.
     """
     bucket = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % size).cast("int"))
-    # sorted buckets, so that each count is one difference of positions
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(bucket, lambda b: b == k)).cast("double"))
+    zeros = F.array_repeat(F.lit(0.0), size)
+    counts = F.aggregate(bucket, zeros, lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1.0).otherwise(x)))
+    # the length goes in as the second input of a zip, so that it is computed once
     length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(counts, lambda v: F.when(length > 0, v / length).otherwise(F.lit(0.0)))
+    made = F.zip_with(counts, F.array_repeat(length, size), lambda v, n: F.when(n > 0, v / n).otherwise(F.lit(0.0)))
+    return made

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ricepaper.operators import hierarchy
-from ricepaper.plans import text_queries
+from ricepaper.plans import search_queries, text_queries
 from ricepaper.plans.tables import table
 
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_descendants": p4_descendants,
     **text_queries.QUERIES,
+    **search_queries.QUERIES,
 }
 
 _LINKS = """
@@ -56,4 +57,5 @@ SQL: dict[str, str] = {
         SELECT n AS course_id, d.b AS descendant_id, coalesce(k.many, 0) AS subtree_size
         FROM ends LEFT JOIN d ON d.a = n LEFT JOIN k ON k.a = n WHERE n NOT IN (SELECT n FROM cyc)""",
     **text_queries.SQL,
+    **search_queries.SQL,
 }
