@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ricepaper.operators import hierarchy
-from ricepaper.plans import search_queries, text_queries
+from ricepaper.plans import course_queries, search_queries, text_queries
 from ricepaper.plans.tables import table
 
 
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_descendants": p4_descendants,
     **text_queries.QUERIES,
     **search_queries.QUERIES,
+    **course_queries.QUERIES,
 }
 
 _LINKS = """
@@ -58,4 +59,5 @@ SQL: dict[str, str] = {
         FROM ends LEFT JOIN d ON d.a = n LEFT JOIN k ON k.a = n WHERE n NOT IN (SELECT n FROM cyc)""",
     **text_queries.SQL,
     **search_queries.SQL,
+    **course_queries.SQL,
 }
