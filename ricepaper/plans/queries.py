@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ricepaper.operators import hierarchy
-from ricepaper.plans import course_queries, search_queries, text_queries
+from ricepaper.plans import course_queries, search_queries, table_queries, text_queries
 from ricepaper.plans.tables import table
 
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **text_queries.QUERIES,
     **search_queries.QUERIES,
     **course_queries.QUERIES,
+    **table_queries.QUERIES,
 }
 
 _LINKS = """
@@ -60,4 +61,5 @@ SQL: dict[str, str] = {
     **text_queries.SQL,
     **search_queries.SQL,
     **course_queries.SQL,
+    **table_queries.SQL,
 }
