@@ -125,7 +125,7 @@ def read_questions(spark: SparkSession, path: str, limit: int | None = None) ->
 
     Lines are numbered within one file, which is how such a list is written.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
     if limit is not None:
         lines = lines.where(F.col("line") < limit)
     query = X.strip(F.get_json_object("value", "$.query"))
@@ -137,7 +137,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     A semester that is a list comes out as its JSON text.
     """
-    doc = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
+    doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     nodes = F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$", "$.nodes", "$.data.nodes")])
     edges = F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$.edges", "$.data.edges")])
     item = lambda c, schema: F.from_json(F.to_json(c), schema)
@@ -148,5 +148,5 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     """``(canon_pos, canonical, aliases)`` of an alias map, in the order of the file."""
-    doc = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
     return doc.select(F.posexplode(F.map_entries("m")).alias("canon_pos", "e")).select("canon_pos", F.col("e.key").alias("canonical"), F.col("e.value").alias("aliases"))
