@@ -178,16 +178,18 @@ def fit_index(codes: DataFrame, rows: int, dim: int = 64) -> ListIndex:
     return ListIndex(_codes_to_unit(table.column(0), dim), rows)
 
 
-def post(codes: DataFrame, index, copies: int, ratio: float, dim: int = 64, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+def post(codes: DataFrame, index, copies: int, ratio: float, dim: int = 64, beam: int = BEAM, hops: int = HOPS, role: str = "both", members: int | None = None) -> DataFrame:
     """``(list, part, key, code)``: each vector in up to ``copies`` lists within ``1 + ratio`` of its nearest.
 
-    ``part`` is 0 but in lists that are split, where a row of block i stands in every part that
-    compares block i with another.
+    ``part`` is 0 but in lists that are split. There a row that both asks and answers stands, for its
+    block i, in every part that compares block i with another; a row that only answers stands in its
+    block's part, and one that only asks in all parts. ``members`` is the number of copies of the rows
+    that answer, which the number of blocks goes by.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: ListIndex = index.value
-        blocks = np.maximum(1, np.ceil(made.expected * copies / LIST_ROWS)).astype(np.int64)
+        blocks = np.maximum(1, np.ceil(made.expected * (members or copies) / LIST_ROWS)).astype(np.int64)
         for whole in batches:
             for s in range(0, whole.num_rows, 2048):
                 batch = whole.slice(s, 2048)
@@ -205,9 +207,9 @@ def post(codes: DataFrame, index, copies: int, ratio: float, dim: int = 64, beam
                     for r, one in zip(row[split], lists[split]):
                         b = int(blocks[one])
                         i = int(salt[r] % b)
-                        pairs = [min(i, j) * b + max(i, j) for j in range(b)]
-                        more_rows.append(np.full(b, r))
-                        more_lists.append(np.full(b, one))
+                        pairs = {"both": [min(i, j) * b + max(i, j) for j in range(b)], "answers": [i], "asks": list(range(b))}[role]
+                        more_rows.append(np.full(len(pairs), r))
+                        more_lists.append(np.full(len(pairs), one))
                         more_parts.append(np.array(pairs))
                     row, lists, parts = map(np.concatenate, (more_rows, more_lists, more_parts))
                 take = pa.array(row)
@@ -331,8 +333,8 @@ def nearest(points: DataFrame, k: int = 5, floor: float = -1.0, queries: Column
         asks = kept.reps.withColumn("id", key_id(F.col("key"))).where(queries).drop("id")
         copied = kept.members.withColumn("id", key_id(F.col("member"))).where(queries).select(F.col("rep").alias("key")).distinct()
         asks = asks.unionByName(kept.reps.join(copied, "key", "left_semi")).dropDuplicates(["key"])
-        members = post(kept.reps, index, 2, ratio, dim).withColumn("asks", F.lit(False))
-        asked = post(asks, index, probes, probe_ratio, dim, beam=2 * probes, hops=max(HOPS, probes // 2)).withColumn("asks", F.lit(True))
+        members = post(kept.reps, index, 2, ratio, dim, role="answers").withColumn("asks", F.lit(False))
+        asked = post(asks, index, probes, probe_ratio, dim, beam=2 * probes, hops=max(HOPS, probes // 2), role="asks", members=2).withColumn("asks", F.lit(True))
         posted = members.unionByName(asked).repartition("list", "part").sortWithinPartitions("list", "part", "key")
         run = _best_in_lists(k, slack, dim, roles=True)
     found = posted.mapInArrow(run, "a binary, b binary, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
