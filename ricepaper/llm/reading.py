@@ -2,8 +2,7 @@
 
 Method. Gradient-boosted regression trees over distributions of length (words, sentences,
 paragraphs), vocabulary (word difficulty learned from the raters, word length, variety, rare
-words), syntax (commas, brackets, hyphens, function words, passives' endings are left to word
-difficulty) and cohesion (word overlap of neighbouring sentences, connectives). Everything is
+words), syntax (commas, semicolons, brackets, hyphens, connectives) and cohesion (word overlap of neighbouring sentences). Everything is
 cross-validated by source: word difficulties of a document never come from its own fold, the
 number of trees is the one with the least error on held-out sources, and the cuts that turn the
 regression into grades are set on held-out predictions.
@@ -192,10 +191,6 @@ class ReadingModel:
         return 1 + np.searchsorted(self.cuts, self.trees.predict(x), side="right")
 
 
-def _difficulties(sums: dict[str, list[float]], mean: float, prior: float = 1.0) -> dict[str, float]:
-    return {w: (s + prior * mean) / (n + prior) for w, (s, n) in sums.items() if n > 0}
-
-
 def _word_table(counts: pd.DataFrame, mean: float, fold: int | None) -> dict[str, float]:
     """Word difficulties from ``counts(word, fold, s, n)``, without one fold."""
     own = counts if fold is None else counts[counts.fold != fold]
