@@ -152,7 +152,11 @@ def estimate_tokens(c: Column) -> Column:
     return F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(n / 4).cast("int")))
 
 
-def split_prompt(c: Column, markers: tuple[str, ...] = ("KG_FINDINGS", "PREREQ_EDGES", "EVIDENCE", "QUESTION")) -> Column:
+# The markers that end the system part of a prompt, in the order they are tried.
+MARKERS = ("KG_FINDINGS", "PREREQ_EDGES", "EVIDENCE", "QUESTION")
+
+
+def split_prompt(c: Column, markers: tuple[str, ...] = MARKERS) -> Column:
     """``(system, user)`` of a prompt that starts with ``SYSTEM:``: cut at the first marker, in list order, that it has."""
     at = F.coalesce(*[F.nullif(F.instr(c, m), F.lit(0)) for m in markers])
     has = c.startswith("SYSTEM:") & at.isNotNull()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ricepaper.functions import text as X
@@ -89,7 +89,7 @@ def levels(links: DataFrame) -> DataFrame:
     return Peeling(links, bottom_up=False).run().state.select("node", F.col("height").alias("level"))
 
 
-def compact_course() -> F.Column:
+def compact_course() -> Column:
     """The course fields a prompt needs, at most five areas."""
     name = F.col("name")
     return F.struct(
@@ -119,7 +119,7 @@ def relevant_findings(seeds: DataFrame, graph: DataFrame, links: DataFrame, dept
     return out.select("question", "n_closure", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("truncated_nodes", no).alias("truncated_nodes"), F.coalesce("truncated_edges", no).alias("truncated_edges"), "targets", F.coalesce("nodes", F.lit("")).alias("nodes"))
 
 
-def course_findings(graph: DataFrame, links: DataFrame, depth: int = 64) -> DataFrame:
+def course_findings(graph: DataFrame, links: DataFrame) -> DataFrame:
     """``(course_id, level, required, parallel)``: prerequisites by study level; ``parallel`` marks levels of two or more.
 
     Levels are those of the whole graph, from 1 within a course's own prerequisites.

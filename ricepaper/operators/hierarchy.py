@@ -92,13 +92,17 @@ class Peeling:
         return self
 
     def run_without(self, nodes: DataFrame) -> "Peeling":
-        """Take ``nodes`` out as one more round, then peel on."""
+        """Take ``nodes`` out as one more round, then peel on.
+
+        Those that went before, such as a leaf with a link to itself, have told their parents already.
+        """
+        pending = materialize(self.rest().join(nodes.select("node"), "node", "left_semi"), "pending")
         out = nodes.select("node").withColumn("out", F.lit(True))
         self.state = materialize(
             self.state.join(out, "node", "left").select("node", F.when(F.col("out"), F.lit(-1)).otherwise(F.col("open")).alias("open"), F.when(F.col("out"), F.lit(-1)).otherwise(F.col("height")).alias("height")),
             "peel",
         )
-        return self.run() if self._take(nodes.select("node")) else self
+        return self.run() if self._take(pending) else self
 
     def rest(self) -> DataFrame:
         return self.state.where("height is null").select("node")

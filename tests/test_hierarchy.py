@@ -32,6 +32,13 @@ def test_cycles_loops_bridges_and_blocked(spark):
     assert {c for c, s in got if s == "path"} == {"R", "M"}
 
 
+def test_leaves_with_loops_tell_their_parents_once(spark):
+    links = [("R", "P"), ("P", "L1"), ("P", "L2"), ("P", "X"), ("X", "C1"), ("C1", "C2"), ("C2", "C1"), ("L1", "L1"), ("L2", "L2")]
+    got = states(spark, links)
+    assert ("P", "path", "R", 1, "R>P") in got and ("X", "path", "R", 2, "R>P>X") in got
+    assert {c for c, s, *_ in got if s == "cycle"} == {"L1", "L2", "C1", "C2"}
+
+
 def test_empty(spark):
     assert states(spark, [], []) == set()
     assert states(spark, [("A", "B", "equivalent")]) == set()
