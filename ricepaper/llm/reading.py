@@ -178,7 +178,8 @@ def grade_cuts(predicted: np.ndarray, level: np.ndarray) -> list[float]:
         tries = tries[np.linspace(0, len(tries) - 1, min(len(tries), 400)).astype(int)]
         wrong = np.array([((predicted >= t) != (level > k + 0.49)).sum() for t in tries])
         best = tries[wrong == wrong.min()]
-        cuts.append(float(np.median(best)))
+        # of equally good cuts the one nearest to the middle, which few labels move least
+        cuts.append(float(best[np.argmin(np.abs(best - (k + 0.5)))]))
     return cuts
 
 
