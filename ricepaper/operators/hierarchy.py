@@ -5,7 +5,8 @@ is the node's height. Nodes that never become leaves reach a cycle. They are tri
 the same way, chains inside the remaining core are contracted by pointer jumping, and labels
 travelling both ways over the contracted core separate the nodes that lie on a cycle from those
 that only connect cycles. With the cycle nodes taken out, a second peel orders all other nodes;
-its reverse order hands root paths down, its forward order hands descendants and subtree sizes up.
+its reverse order hands root paths down. For descendants each strongly connected component is
+contracted to one node; peel order hands them up and the components are expanded again.
 
 Scale. Each round touches only counters of the parents of the nodes just removed; several rounds
 form one job (``BAND``) whose result is a table in the shared folder. Descendants are
@@ -18,6 +19,8 @@ itself is a cycle; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,8 +114,8 @@ class Peeling:
 def _jump_chains(core: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Contract nodes with one way in and one way out.
 
-    Returns (links between the other nodes, (node, start, end) of each chain node, nodes of bare
-    cycles). Pointer jumping needs a number of rounds logarithmic in the longest chain.
+    Returns (links between the other nodes, (node, start, end) of each chain node, (node, component)
+    of bare cycles). Pointer jumping needs a number of rounds logarithmic in the longest chain.
     """
     degree = (
         core.select(F.col("parent").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), (F.col("parent") == F.col("child")).cast("int").alias("s"))
@@ -123,19 +126,21 @@ def _jump_chains(core: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     total = inner.count()
     hops = materialize(
         inner.join(core.withColumnRenamed("parent", "node"), "node").withColumnRenamed("child", "end")
-        .join(core.select(F.col("child").alias("node"), F.col("parent").alias("start")), "node"),
+        .join(core.select(F.col("child").alias("node"), F.col("parent").alias("start")), "node")
+        .withColumn("top", F.col("node")),
         "hops",
     )
     rounds = max(1, total).bit_length() + 1
     for at in range(rounds):
-        onward = hops.select(F.col("node").alias("end"), F.col("end").alias("end2"))
+        # the greatest id passed on the way to the end; round a bare cycle it names the cycle
+        onward = hops.select(F.col("node").alias("end"), F.col("end").alias("end2"), F.col("top").alias("top2"))
         back = hops.select(F.col("node").alias("start"), F.col("start").alias("start2"))
         hops = hops.join(onward, "end", "left").join(back, "start", "left").select(
-            "node", F.coalesce("start2", "start").alias("start"), F.coalesce("end2", "end").alias("end")
+            "node", F.coalesce("start2", "start").alias("start"), F.coalesce("end2", "end").alias("end"), F.greatest("top", "top2").alias("top")
         )
         if at % 3 == 2 or at == rounds - 1:
             hops = materialize(hops, "hops")
-    bare = hops.join(inner.withColumnRenamed("node", "end"), "end", "left_semi").select("node")
+    bare = hops.join(inner.withColumnRenamed("node", "end"), "end", "left_semi").select("node", F.col("top").alias("component"))
     chains = hops.join(inner.withColumnRenamed("node", "end"), "end", "left_anti")
     kept = (
         core.join(inner.withColumnRenamed("node", "parent"), "parent", "left_anti")
@@ -192,17 +197,21 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def _cycle_nodes_of_core(core: DataFrame) -> DataFrame:
+    """``(node, component)`` of the nodes on cycles; a component's name is the id of one of its nodes."""
     kept, chains, bare = _jump_chains(core)
     kept = materialize(kept, "kept")
-    turned = kept.where("parent = child").select(F.col("parent").alias("node"))
     comps = materialize(_components(_trim(kept.where("parent <> child"))), "comps")
-    sized = comps.join(comps.groupBy("component").count().where("count > 1"), "component", "left_semi").select("node")
+    turned = (
+        kept.where("parent = child").select(F.col("parent").alias("node")).join(comps, "node", "left")
+        .select("node", F.coalesce("component", "node").alias("component"))
+    )
+    sized = comps.join(comps.groupBy("component").count().where("count > 1"), "component", "left_semi").select("node", "component")
     ends = (
         chains.join(comps.select(F.col("node").alias("start"), F.col("component").alias("c1")), "start", "left")
         .join(comps.select(F.col("node").alias("end"), F.col("component").alias("c2")), "end", "left")
     )
-    linked = ends.where("start = end or c1 = c2").select("node")
-    return turned.unionByName(sized).unionByName(linked).unionByName(bare.select("node"))
+    linked = ends.where("start = end or c1 = c2").select("node", F.coalesce("c1", "start").alias("component"))
+    return turned.unionByName(sized).unionByName(linked).unionByName(bare)
 
 
 class Hierarchy:
@@ -212,22 +221,27 @@ class Hierarchy:
         self.links = materialize(links.select("parent", "child"), "links")
         loops = self.links.where("parent = child").select(F.col("parent").alias("node"))
         straight = self.links.where("parent <> child")
-        peeling = Peeling(straight).run()
-        residual = materialize(_within(straight, peeling.rest()), "residual")
-        cyclic = loops
+        self.peeling = Peeling(straight).run()
+        residual = materialize(_within(straight, self.peeling.rest()), "residual")
+        members = loops.withColumn("component", F.col("node"))
         if not residual.isEmpty():
             core = materialize(_within(residual, Peeling(residual, bottom_up=False).run().rest()), "core")
-            cyclic = cyclic.unionByName(_cycle_nodes_of_core(core))
-        self.cyclic = materialize(cyclic.distinct(), "cyclic")
-        peeling.run_without(self.cyclic)
+            found = materialize(_cycle_nodes_of_core(core).distinct(), "found")
+            members = members.join(found, "node", "left_anti").unionByName(found)
+        #: The nodes on cycles and the strongly connected component of each.
+        self.members = materialize(members, "cyclic")
+        self.cyclic = self.members.select("node")
         free = self.links.join(self.cyclic.withColumnRenamed("node", "parent"), "parent", "left_anti")
         free = free.join(self.cyclic.withColumnRenamed("node", "child"), "child", "left_anti")
         self.free = materialize(free.select("parent", "child"), "free")
         # a node whose only link is to itself is an end of no straight link
-        ends = peeling.state.select("node", "height").unionByName(self.cyclic.select("node", F.lit(-1).alias("height")))
-        heights = ends.groupBy("node").agg(F.min("height").alias("height"))
-        self.nodes = heights.select("node")
-        self.heights = materialize(heights.join(self.cyclic, "node", "left_anti"), "heights")
+        self.nodes = self.peeling.state.select("node").unionByName(self.cyclic).distinct()
+
+    @cached_property
+    def heights(self) -> DataFrame:
+        """``(node, height)`` of the nodes off cycles."""
+        heights = self.peeling.run_without(self.cyclic).state.select("node", "height")
+        return materialize(heights.join(self.cyclic, "node", "left_anti"), "heights")
 
     def paths(self) -> DataFrame:
         """``(node, root, depth, path)``: one row per path from a root, in reverse peel order."""
@@ -291,6 +305,21 @@ class Hierarchy:
 
         return self._hand_on(own.distinct(), extend, place, down=False).select("node", "descendant").distinct()
 
+    def all_descendants(self) -> DataFrame:
+        """``(node, descendant)`` over all links; a node on a cycle is its own descendant, too."""
+        if self.members.isEmpty():
+            return self.descendants()
+        above = self.members.select(F.col("node").alias("parent"), F.col("component").alias("p"))
+        below = self.members.select(F.col("node").alias("child"), F.col("component").alias("c"))
+        links = self.links.join(above, "parent", "left").join(below, "child", "left").select(F.coalesce("p", "parent").alias("parent"), F.coalesce("c", "child").alias("child"))
+        # a component is named after one of its own nodes, so no other node has its name
+        pairs = Hierarchy(links.where("parent <> child").distinct()).descendants()
+        names = self.members.select("component").distinct()
+        pairs = pairs.unionByName(names.select(F.col("component").alias("node"), F.col("component").alias("descendant")))
+        upper = self.members.select(F.col("component").alias("node"), F.col("node").alias("own"))
+        lower = self.members.select(F.col("component").alias("descendant"), F.col("node").alias("theirs"))
+        return pairs.join(upper, "node", "left").join(lower, "descendant", "left").select(F.coalesce("own", "node").alias("node"), F.coalesce("theirs", "descendant").alias("descendant"))
+
 
 def course_hierarchy(edges: DataFrame, nodes: DataFrame, link_type: str = "prerequisite") -> DataFrame:
     """``(course_id, state, root_id, depth, path)`` as described in the module's head."""
@@ -299,12 +328,11 @@ def course_hierarchy(edges: DataFrame, nodes: DataFrame, link_type: str = "prere
 
 
 def course_descendants(edges: DataFrame, nodes: DataFrame, link_type: str = "prerequisite") -> DataFrame:
-    """``(course_id, descendant_id, subtree_size)``; a course without descendants gives one row
-    with a null descendant and size 0. Courses on a cycle are left out, as no path passes them."""
+    """``(course_id, descendant_id, subtree_size)`` of every course; one without descendants gives one
+    row with a null descendant and size 0. A course on a cycle is its own descendant, too."""
     tree = Hierarchy(counted_links(edges, nodes, link_type))
-    pairs = materialize(tree.descendants(), "pairs")
+    pairs = materialize(tree.all_descendants(), "pairs")
     sizes = pairs.groupBy("node").agg(F.count("*").alias("subtree_size"))
-    free = tree.nodes.join(tree.cyclic, "node", "left_anti")
-    return free.join(sizes, "node", "left").join(pairs, "node", "left").select(
+    return tree.nodes.join(sizes, "node", "left").join(pairs, "node", "left").select(
         F.col("node").alias("course_id"), F.col("descendant").alias("descendant_id"), F.coalesce("subtree_size", F.lit(0)).cast("long").alias("subtree_size")
     )

@@ -52,3 +52,18 @@ def test_deep_chain_and_descendants(spark):
     rows = course_descendants(*tables(spark, links)).collect()
     assert {(r.course_id, r.subtree_size) for r in rows} == {(f"N{i:02}", 11 - i) for i in range(12)}
     assert {r.descendant_id for r in rows if r.course_id == "N09"} == {"N10", "N11"}
+
+
+def test_descendants_through_cycles(spark):
+    links = [
+        ("A", "B"), ("B", "C"), ("C", "B"), ("C", "D"), ("L", "L"), ("L", "D"), ("Z", "L"),
+        ("P1", "P2"), ("P2", "P3"), ("P3", "P4"), ("P4", "P1"), ("P2", "Q"), ("Q", "P4"), ("P3", "C"),
+        ("S1", "S2"), ("S2", "S3"), ("S3", "S1"), ("T1", "T2"), ("T2", "T1"),
+        ("U1", "U2"), ("U2", "U3"), ("U3", "U1"), ("U3", "V"), ("V", "W1"), ("W1", "W2"), ("W2", "W1"), ("W2", "W2"), ("W1", "X"), ("X", "Y"), ("Y", "W1"),
+    ]
+    reach = set(links)
+    while more := {(a, d) for a, b in reach for c, d in links if b == c} - reach:
+        reach |= more
+    rows = course_descendants(*tables(spark, links)).collect()
+    assert sorted((r.course_id, r.descendant_id) for r in rows if r.descendant_id) == sorted(reach)
+    assert {(r.course_id, r.subtree_size) for r in rows} == {(n, sum(a == n for a, _ in reach)) for n in {n for x in links for n in x}}
