@@ -42,8 +42,8 @@ def batch_answers(spark, d):
 
 
 def html_visible(spark, d):
-    """Visible text of pages made from documents, tags and entities removed."""
-    page = F.concat(F.lit("<p>"), F.coalesce("source", F.lit("")), F.lit("</p><b>a&amp;b</b>"))
+    """Visible text of pages made from documents: the source and the whole text with its own markup, tags and entities removed."""
+    page = F.concat(F.lit("<p>"), F.coalesce("source", F.lit("")), F.lit("</p>"), F.coalesce("text", F.lit("")), F.lit("<b>a&amp;b</b>"))
     return table(spark, d, "documents").select("doc_id", X.visible_html(page).alias("text"))
 
 

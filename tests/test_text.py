@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ricepaper.functions import text as X
 from ricepaper.operators import chunking, guard, keywords
+from ricepaper.plans import table_queries
 
 
 def one(spark, text, make):
@@ -93,3 +94,10 @@ def test_redaction_is_idempotent(text):
         return
     once = one(spark, text, X.redact)
     assert one(spark, once, X.redact) == once
+
+
+def test_html_visible_takes_whole_texts(spark, tmp_path):
+    rows = [(1, "s", "<p>one&nbsp;two</p> & <!-- no\n<i> --> a &lt; b"), (2, None, "plain\ntext"), (3, "s", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: " ".join(r.text.split()) for r in table_queries.html_visible(spark, str(tmp_path)).collect()}
+    assert got == {1: "s one two & a < b a&b", 2: "plain text a&b", 3: "s a&b"}
