@@ -435,7 +435,10 @@ def running_headers(counts: DataFrame) -> DataFrame:
 
 
 def found_cases(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, line_no, noise, token, repaired)``; ``token`` is what stands in the text. A case met twice in a line has two rows."""
+    """``(chunk_id, line_no, noise, token, repaired, before, after)``; ``token`` is what stands in the text.
+
+    A case met twice in a line has two rows. ``before`` and ``after`` are the neighbours of a misread word.
+    """
     spark = chunks.sparkSession
     texts = _texts(chunks)
     counts = materialize(texts.mapInArrow(_count, _COUNTED).groupBy("kind", "doc", "key").agg(F.sum("n").alias("n"), F.sum("more").alias("more")), "counts")
@@ -469,20 +472,21 @@ def found_cases(chunks: DataFrame) -> DataFrame:
     close = close.withColumn("total", F.col("score") - 2 * F.log1p(F.coalesce("n1", F.lit(0)).cast("double")) - 2 * F.log1p(F.coalesce("n2", F.lit(0)).cast("double")))
     order = Window.partitionBy("id", "line", "token", "before", "after").orderBy("total", "repaired")
     close = close.withColumn("r", F.row_number().over(order)).where("r = 1")
-    misread = clear.select("id", "line", "token", "repaired").unionByName(close.select("id", "line", "token", "repaired"))
+    misread = clear.select("id", "line", "token", "repaired", "before", "after").unionByName(close.select("id", "line", "token", "repaired", "before", "after"))
 
     divided = unsure.where("kind = 'divided'").join(fixes.where("place = 1").select("token", F.col("repaired").alias("fixed")), "token", "left")
     whole = F.when((F.col("n") == 0) & F.col("before").isNotNull(), F.col("before")).when(F.col("n") == 1, F.col("token")).otherwise(F.coalesce("fixed", "token"))
+    alone = [F.lit("").alias("before"), F.lit("").alias("after")]
     parts = [
-        divided.select("id", "line", F.lit("hyphen").alias("noise"), "token", whole.alias("repaired")),
-        misread.select("id", "line", F.lit("misread").alias("noise"), "token", "repaired"),
-        heads.select("id", "line", F.lit("header").alias("noise"), F.lit("").alias("token"), F.lit("").alias("repaired")),
-        pages.select("id", "line", F.lit("page_number").alias("noise"), F.lit("").alias("token"), F.lit("").alias("repaired")),
+        divided.select("id", "line", F.lit("hyphen").alias("noise"), "token", whole.alias("repaired"), *alone),
+        misread.select("id", "line", F.lit("misread").alias("noise"), "token", "repaired", "before", "after"),
+        heads.select("id", "line", F.lit("header").alias("noise"), F.lit("").alias("token"), F.lit("").alias("repaired"), *alone),
+        pages.select("id", "line", F.lit("page_number").alias("noise"), F.lit("").alias("token"), F.lit("").alias("repaired"), *alone),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.col("id").alias("chunk_id"), F.col("line").alias("line_no"), "noise", "token", "repaired")
+    return out.select(F.col("id").alias("chunk_id"), F.col("line").alias("line_no"), "noise", "token", "repaired", "before", "after")
 
 
 def noise_cases(chunks: DataFrame) -> DataFrame:
@@ -493,19 +497,34 @@ def noise_cases(chunks: DataFrame) -> DataFrame:
 _JOINED = re.compile(rf"[{HYPHENS}]{{1,2}}\s*$")
 
 
-def rebuild(text: str, cases: list[tuple[int, str, str, str]]) -> str:
+def _forms(word: str) -> Iterator[tuple[str, int, int]]:
+    """``(token, start, end)``: the tokens a word of the text is looked up as, and where they stand in it."""
+    core, low = word.strip(_EDGE), word.lower()
+    start = word.find(core)
+    end = start + len(core)
+    if (low[0] == "(" and ")" not in low) or low[0] == "!":
+        yield low[0] + core.lower(), 0, end
+    elif low.rstrip(".,;:")[-1:] == "!":
+        yield core.lower() + "!", start, word.find("!", end) + 1
+    yield core.lower(), start, end
+
+
+def rebuild(text: str, cases: list[tuple]) -> str:
     """The text as continuous paragraphs, with ``(line_no, noise, token, repaired)`` put right.
 
+    A misread word is put right wherever it stands in its line; if its neighbours ``before, after``
+    follow in the tuple, only where it stands between them.
+
     Headings, list entries and label lines keep their own lines; a paragraph interrupted by a page
     break goes on.
     """
     lines = text.split("\n")
-    drop = {n - 1 for n, noise, _, _ in cases if noise in ("header", "page_number")}
-    joined = {n - 1: w for n, noise, _, w in cases if noise == "hyphen"}
-    fixes: dict[int, list[tuple[str, str]]] = {}
-    for n, noise, token, repaired in cases:
+    drop = {n - 1 for n, noise, *_ in cases if noise in ("header", "page_number")}
+    joined = {n - 1: w for n, noise, _, w, *_ in cases if noise == "hyphen"}
+    fixes: dict[int, dict[tuple, str]] = {}
+    for n, noise, token, repaired, *near in cases:
         if noise == "misread":
-            fixes.setdefault(n - 1, []).append((token, repaired))
+            fixes.setdefault(n - 1, {})[token, *near] = repaired
     # where the second part of a divided word stands
     seconds = {j: k for k, j, _, _ in divided_words(lines) if k in joined}
     out: list[str] = []
@@ -519,12 +538,18 @@ def rebuild(text: str, cases: list[tuple[int, str, str, str]]) -> str:
         if not s:
             blank = True
             continue
-        for token, repaired in fixes.get(k, ()):
-            at = s.lower().find(token)
-            if at >= 0:
-                seen = s[at : at + len(token)]
-                new = repaired.upper() if _CODE.fullmatch(repaired) else repaired.capitalize() if seen[0].isupper() or seen[0] in _SYMBOLS and (at == 0 and (not out or out[-1][-1:] in ".!?:")) else repaired
-                s = s[:at] + new + s[at + len(token) :]
+        if k in fixes:
+            own_fixes, words = fixes[k], list(re.finditer(r"\S+", s))
+            near = ["", *(norm(w[0]) for w in words), ""]
+            # from the end, so that places before stay
+            for i in range(len(words) - 1, -1, -1):
+                for token, start, end in _forms(words[i][0]):
+                    repaired = own_fixes.get((token, near[i], near[i + 2]), own_fixes.get((token,)))
+                    if repaired is not None:
+                        at, end = words[i].start() + start, words[i].start() + end
+                        new = repaired.upper() if _CODE.fullmatch(repaired) else repaired.capitalize() if s[at].isupper() or s[at] in _SYMBOLS and (at == 0 and (not out or out[-1][-1:] in ".!?:")) else repaired
+                        s = s[:at] + new + s[end:]
+                        break
         if k in seconds:
             # the whole word went to the line of its first part
             mark = re.match(r"\S*?([.,;:!?)\]\"”]*)(?=\s|$)", s)
@@ -552,11 +577,11 @@ def rebuild(text: str, cases: list[tuple[int, str, str, str]]) -> str:
 
 def repaired_texts(chunks: DataFrame) -> DataFrame:
     """``(chunk_id, text)``: every text with content, its noise repaired; others as they are."""
-    cases = found_cases(chunks).groupBy("chunk_id").agg(F.collect_set(F.struct("line_no", "noise", "token", "repaired")).alias("cases"))
+    cases = found_cases(chunks).groupBy("chunk_id").agg(F.collect_set(F.struct("line_no", "noise", "token", "repaired", "before", "after")).alias("cases"))
 
     @F.pandas_udf(T.StringType())
     def put_right(text: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or "\n" not in t else rebuild(t, [(c["line_no"], c["noise"], c["token"], c["repaired"]) for c in ([] if o is None else o)]) for t, o in zip(text, own)], dtype=object)
+        return pd.Series([t if t is None or ("\n" not in t and o is None) else rebuild(t, [(c["line_no"], c["noise"], c["token"], c["repaired"], c["before"], c["after"]) for c in ([] if o is None else o)]) for t, o in zip(text, own)], dtype=object)
 
     rows = _texts(chunks).select(F.col("id").alias("chunk_id"), "text")
     return rows.join(cases, "chunk_id", "left").select("chunk_id", put_right("text", "cases").alias("text"))

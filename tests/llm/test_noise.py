@@ -66,3 +66,18 @@ def test_every_single_confusion_meets_its_word(word, data):
     assert noise.cost(token, word) is not None
     if sum(c.isalpha() for c in token) * 2 >= len(token):
         assert noise.unknown_keys(token) & noise.lexicon_keys(word)
+
+
+def test_one_line_texts_and_every_occurrence_are_repaired(spark):
+    texts = [filler(k) for k in range(12)] + ["students read the cred1t rules", "the cred1t rules and\nthe cred1t rules and the cred1t rules"]
+    got = {r.chunk_id: r.text for r in noise.repaired_texts(chunks(spark, texts)).collect()}
+    assert got["d#chunk_12"] == "students read the credit rules"
+    assert got["d#chunk_13"] == "the credit rules and the credit rules and the credit rules"
+    assert got["d#chunk_0"] == filler(0)
+
+
+def test_rebuilt_words_are_whole_and_keep_their_neighbours():
+    assert noise.rebuild("cred1ts cred1t, Cred1t", [(1, "misread", "cred1t", "credit")]) == "cred1ts credit, Credit"
+    assert noise.rebuild("the (redit wi!! no", [(1, "misread", "(redit", "credit"), (1, "misread", "redit", "edit"), (1, "misread", "wi!", "will")]) == "the credit will! no"
+    near = [(1, "misread", "1n", "in", "a", "b"), (1, "misread", "1n", "ln", "b", "c")]
+    assert noise.rebuild("a 1n b 1n c", near) == "a in b ln c"
