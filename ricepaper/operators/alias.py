@@ -35,10 +35,15 @@ def alias_table(aliases: DataFrame) -> DataFrame:
 
 
 def aliases_of_graph(graph: DataFrame) -> DataFrame:
-    """``(canonical, aliases)`` built from courses: id, names, spaced code; ordered, each once."""
+    """``(canonical, aliases)`` built from courses: id, names, spaced code; ordered, each once.
+
+    Of repeated rows the least version counts, none being less than any; then the first name, absent ones last.
+    """
     name = F.col("name")
+    vi, en = name["vi"], name["en"]
+    order = F.struct(F.coalesce("version", F.lit("")), vi.isNull(), vi, en.isNull(), en)
     made = F.array_distinct(F.filter(F.array("id", name["vi"], name["en"], X.spaced_code(F.col("id"))), lambda x: x.isNotNull() & (x != "")))
-    rows = graph.where("id is not null").groupBy("id").agg(F.min_by("name", "version").alias("name"))
+    rows = graph.where("id is not null").groupBy("id").agg(F.min_by("name", order).alias("name"))
     return rows.select(F.col("id").alias("canonical"), made.alias("aliases"))
 
 

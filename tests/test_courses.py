@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from ricepaper.operators import alias, constraints, generation, graph, planning, routing
+from ricepaper.plans import course_queries
 
 
 def test_alias_cascade(spark):
@@ -123,3 +124,17 @@ def test_generation(spark):
         lim.wait()
     assert waits == [6.0]
     assert generation.backoff(10, jitter=False) == 60.0
+
+
+GRAPH = [
+    ("AB101CD", {"vi": "Đại số", "en": "Algebra"}, "2"), ("AB101CD", {"vi": "Cũ", "en": "Old"}, "1"), ("EF202", {"vi": None, "en": "Logic"}, None),
+    ("GH303", {}, "1"), ("IJ404", {"en": "Optics"}, "1"), ("IJ404", {"en": "Acoustics"}, "1"), (None, {"en": "None"}, "1"),
+]
+
+
+def test_alias_build_takes_every_course(spark, tmp_path):
+    spark.createDataFrame(GRAPH, "id string, name map<string,string>, version string").write.parquet(str(tmp_path / "knowledge_graph.parquet"))
+    got = {r.canonical: r.n_aliases for r in course_queries.alias_build(spark, str(tmp_path)).collect()}
+    assert got == {"AB101CD": 4, "EF202": 2, "GH303": 1, "IJ404": 2}
+    made = {r.canonical: r.aliases for r in alias.aliases_of_graph(spark.read.parquet(str(tmp_path / "knowledge_graph.parquet"))).collect()}
+    assert made["AB101CD"] == ["AB101CD", "Cũ", "Old", "AB 101 CD"] and made["EF202"] == ["EF202", "Logic"] and made["IJ404"] == ["IJ404", "Acoustics"]
