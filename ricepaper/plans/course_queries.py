@@ -33,8 +33,9 @@ def alias_build(spark, d):
 
 
 def alias_update(spark, d):
+    """The alias map with all aliases built from the graph merged in."""
     a = table(spark, d, "aliases").where("canonical is not null")
-    return alias.merge_aliases(a, alias.aliases_of_graph(table(spark, d, "knowledge_graph")).select("canonical", F.array(F.col("canonical")).alias("aliases"))).select("canonical", F.array_join("aliases", "|").alias("aliases"))
+    return alias.merge_aliases(a, alias.aliases_of_graph(table(spark, d, "knowledge_graph"))).select("canonical", F.array_join("aliases", "|").alias("aliases"))
 
 
 def alias_exact(spark, d):

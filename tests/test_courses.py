@@ -138,3 +138,11 @@ def test_alias_build_takes_every_course(spark, tmp_path):
     assert got == {"AB101CD": 4, "EF202": 2, "GH303": 1, "IJ404": 2}
     made = {r.canonical: r.aliases for r in alias.aliases_of_graph(spark.read.parquet(str(tmp_path / "knowledge_graph.parquet"))).collect()}
     assert made["AB101CD"] == ["AB101CD", "Cũ", "Old", "AB 101 CD"] and made["EF202"] == ["EF202", "Logic"] and made["IJ404"] == ["IJ404", "Acoustics"]
+
+
+def test_alias_update_merges_all_built_aliases(spark, tmp_path):
+    spark.createDataFrame(GRAPH, "id string, name map<string,string>, version string").write.parquet(str(tmp_path / "knowledge_graph.parquet"))
+    old = [("EF202", ["Logic", "Reasoning", None]), ("ZZ999", ["Lost"]), (None, ["x"])]
+    spark.createDataFrame(old, "canonical string, aliases array<string>").write.parquet(str(tmp_path / "aliases.parquet"))
+    got = {r.canonical: r.aliases for r in course_queries.alias_update(spark, str(tmp_path)).collect()}
+    assert got == {"AB101CD": "AB 101 CD|AB101CD|Cũ|Old", "EF202": "EF202|Logic|Reasoning", "GH303": "GH303", "IJ404": "Acoustics|IJ404", "ZZ999": "Lost"}
