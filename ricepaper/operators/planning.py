@@ -82,9 +82,10 @@ def solve(p: Problem) -> tuple[str, dict[str, int], int]:
     Iterates over the last term; for each, a depth-first search fills terms in order. Bounds: the
     credits that still have to be placed against the load left, and for every course the latest term
     that its longest chain of dependants allows. Electives are chosen, as needed, among the courses
-    that are not required.
+    that are not required. Each last term has ``seconds``; TIMEOUT means that no plan was found and
+    not every last term was searched to its end. After a time-out a plan may not be the least.
     """
-    clock = time.monotonic() + p.seconds
+    late = False
     required = set(p.required)
     # what a required course needs is required too
     todo = list(required)
@@ -134,6 +135,7 @@ def solve(p: Problem) -> tuple[str, dict[str, int], int]:
     for c in chosen:
         if depth(c, frozenset()) >= 99:
             return "INFEASIBLE", {}, 0
+    # every last term has its own time; one that ran out of it proves nothing, so later ones follow
     for last in range(p.start, p.end + 1):
         if total > p.high * (last - p.start + 1):
             continue
@@ -146,11 +148,14 @@ def solve(p: Problem) -> tuple[str, dict[str, int], int]:
         placed: dict[str, int] = {}
         load = dict.fromkeys(range(p.start, last + 1), 0)
         best: tuple[int, dict[str, int]] | None = None
+        clock = time.monotonic() + p.seconds
+        over = False
         order = sorted(chosen, key=lambda c: (-tail[c], len(options[c]), c))
 
         def search(at: int) -> bool:
-            nonlocal best
+            nonlocal best, over
             if time.monotonic() > clock:
+                over = True
                 return True
             if at == len(order):
                 if max(placed.values()) != last or any(0 < load[t] < p.low for t in range(p.start, last)):
@@ -175,9 +180,8 @@ def solve(p: Problem) -> tuple[str, dict[str, int], int]:
         search(0)
         if best is not None:
             return "OK", best[1], 1000 * last + best[0]
-        if time.monotonic() > clock:
-            return "INFEASIBLE", {}, 0
-    return "INFEASIBLE", {}, 0
+        late = late or over
+    return "TIMEOUT" if late else "INFEASIBLE", {}, 0
 
 
 PLAN = "scenario_id long, status string, objective int, term int, course_id string, credits int"

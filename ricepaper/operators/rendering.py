@@ -82,7 +82,7 @@ def render_plan(plan: DataFrame, scenario: str) -> DataFrame:
     terms = plan.where("course_id is not null").groupBy(scenario, "term").agg(F.concat(F.lit("Term "), "term", F.lit(": "), line, F.lit(" ("), F.sum("credits").cast("string"), F.lit(" credits)")).alias("t"))
     texts = terms.groupBy(scenario).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("term", "t"))), lambda x: x["t"]), "\n").alias("body"))
     status = plan.groupBy(scenario).agg(F.max("status").alias("status"))
-    reason = F.when(F.col("status") == "INFEASIBLE", "No plan meets all conditions.").when(F.col("status") == "ERROR", "The request can't be planned.").otherwise("Nothing is left to plan.")
+    reason = F.when(F.col("status") == "INFEASIBLE", "No plan meets all conditions.").when(F.col("status") == "TIMEOUT", "No plan was found in time.").when(F.col("status") == "ERROR", "The request can't be planned.").otherwise("Nothing is left to plan.")
     return status.join(texts, scenario, "left").select(scenario, F.coalesce("body", reason).alias("text"))
 
 

@@ -146,3 +146,12 @@ def test_alias_update_merges_all_built_aliases(spark, tmp_path):
     spark.createDataFrame(old, "canonical string, aliases array<string>").write.parquet(str(tmp_path / "aliases.parquet"))
     got = {r.canonical: r.aliases for r in course_queries.alias_update(spark, str(tmp_path)).collect()}
     assert got == {"AB101CD": "AB 101 CD|AB101CD|Cũ|Old", "EF202": "EF202|Logic|Reasoning", "GH303": "GH303", "IJ404": "Acoustics|IJ404", "ZZ999": "Lost"}
+
+
+def test_a_time_out_proves_nothing(monkeypatch):
+    assert planning.solve(problem(seconds=-1.0)) == ("TIMEOUT", {}, 0)
+    # the first search runs out of time, later ones don't
+    ticks = iter([0.0])
+    monkeypatch.setattr(planning.time, "monotonic", lambda: next(ticks, 100.0))
+    status, plan, goal = planning.solve(problem())
+    assert status == "OK" and goal == 3000 and plan["A"] < plan["B"]
