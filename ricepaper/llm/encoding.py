@@ -1,13 +1,14 @@
 """Encoding of whole texts with a byte-level BPE tokenizer, and its inverse.
 
-Method. A transducer reads a text once. The pre-tokenizer's pattern needs one character of
-lookahead, so a word is final when the next one starts. Inside a word the state after each byte is
-the last token of that prefix's encoding: token ``t`` may follow token ``s`` exactly if the merges
-turn ``s + t`` back into ``[s, t]``. Any future token starts within the longest token's length of
-the present position, so a token is stable, and emitted, once the chains of all those positions
-run through it. The merge list bounds how far that can be (:meth:`Transducer.lookahead`), so the
-memory held is a constant of the tokenizer, however long a word is. Short words, nearly all there
-are, go through the plain merge loop once and are remembered.
+Method. A transducer reads a text once. Words are cut off block by block as soon as the
+pre-tokenizer's pattern can no longer change them. Inside a word the state after each byte is the
+last token of that prefix's encoding: an automaton over the vocabulary names the tokens that end
+there, and token ``t`` may follow token ``s`` exactly if no merge crosses the border between them
+while each is being built. A merge list moves a border only through a chain of merges of falling
+priority, so a token is stable, and emitted, once :meth:`Transducer.lookahead` bytes have followed
+it. What is held is a block of text and two lookaheads of bytes, however long text and words are
+(:meth:`Transducer.encode_stream`). The ids of words met before are remembered; what is remembered
+is the transducer's own output, so this saves time only.
 
 Decoding feeds the bytes of each id to an incremental UTF-8 state machine that keeps at most three
 bytes of an unfinished character.
@@ -34,8 +35,8 @@ from pyspark.sql import types as T
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pre-tokenizer's pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words of up to so many bytes are merged at once; longer ones are streamed.
-SHORT = 256
+#: Characters of a text looked at together, 6 at least; changes no result.
+BLOCK = 1 << 16
 #: Remembered words; the memory is emptied when full, which changes no result.
 REMEMBERED = 300_000
 
@@ -59,20 +60,58 @@ def read_vocabulary(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> tup
     return tokens, [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
 
 
+class _Feed:
+    """A text given in pieces, of which about a block is held."""
+
+    def __init__(self, pieces: Iterable[str]):
+        self.pieces, self.text = iter(pieces), ""
+        self.next = next(self.pieces, None)
+
+    @property
+    def ended(self) -> bool:
+        return self.next is None
+
+    def fill(self) -> bool:
+        while self.next is not None and len(self.text) < BLOCK:
+            self.text += self.next
+            self.next = next(self.pieces, None)
+        return bool(self.text)
+
+    def take(self, end: int) -> str:
+        out, self.text = self.text[:end], self.text[end:]
+        return out
+
+
 class Transducer:
     def __init__(self, tokens: list[bytes], merges: list[tuple[int, int, int]]):
+        import ahocorasick
         import regex
 
-        self.tokens = tokens
-        self.rank = {(a, b): (k, c) for k, (a, b, c) in enumerate(merges)}
+        self.tokens, self.merges = tokens, merges
+        self.rank = {(a, b): k for k, (a, b, _) in enumerate(merges)}
         self.of_byte = [0] * 256
         for at, t in enumerate(tokens):
             if len(t) == 1:
                 self.of_byte[t[0]] = at
-        self.merges = merges
-        self.by_bytes = {t: at for at, t in enumerate(tokens)}
-        self.longest = max(map(len, tokens))
+        #: of each token its first and last part on the way from bytes, with the rank of the merge that takes the part
+        self.left: dict[int, list[tuple[int, int]]] = {}
+        self.right: dict[int, list[tuple[int, int]]] = {}
+        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for at in self.of_byte:
+            self.left[at] = self.right[at] = []
+            found.add_word(tokens[at].decode("latin-1"), at)
+        for k, (a, b, c) in enumerate(merges):
+            if a not in self.left or b not in self.left or c in self.left:
+                raise ValueError("every token must be made by one merge of tokens made before")
+            self.left[c] = [*self.left[a], (a, k)]
+            self.right[c] = [*self.right[b], (b, k)]
+            found.add_word(tokens[c].decode("latin-1"), c)
+        found.make_automaton()
+        self.automaton = found
+        self.reach = self.lookahead()
         self.pattern = regex.compile(PATTERN)
+        # how a run of blanks, letters, numbers or other marks starts, and how it goes on
+        self.runs = [tuple(map(regex.compile, p)) for p in ((r"\s{2,}", r"\s+"), (r" ?\p{L}+", r"\p{L}+"), (r" ?\p{N}+", r"\p{N}+"), (r" ?[^\s\p{L}\p{N}]+", r"[^\s\p{L}\p{N}]+"))]
         self.words: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
@@ -90,108 +129,148 @@ class Transducer:
             if here > by_left.get(a, 0):
                 by_left[a] = here
             most = max(most, here)
-        return (most + 1) * self.longest
-
-    def merge(self, data: bytes) -> list[int]:
-        """The merge loop: the pair of lowest rank first, the leftmost of equals."""
-        ids = [self.of_byte[b] for b in data]
-        rank = self.rank
-        while len(ids) > 1:
-            best = min((rank[p] for p in zip(ids, ids[1:]) if p in rank), default=None)
-            if best is None:
-                break
-            a, b, _ = self.merges[best[0]]
-            out, k, n = [], 0, len(ids)
-            while k < n:
-                if ids[k] == a and k + 1 < n and ids[k + 1] == b:
-                    out.append(best[1])
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
-        return ids
+        return (most + 1) * max(map(len, self.tokens))
 
     def follows(self, s: int, t: int) -> bool:
+        """Whether ``t`` may stand after ``s``: no merge takes parts of both while they are built.
+
+        The part at the end of ``s`` and the one at the start of ``t`` grow merge by merge; two of
+        them that stand side by side are merged if that comes before both are taken by others. At
+        equal ranks the leftmost merge comes first.
+        """
         known = self.pairs.get((s, t))
-        if known is None:
-            if len(self.pairs) > REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[s, t] = self.merge(self.tokens[s] + self.tokens[t]) == [s, t]
+        if known is not None:
+            return known
+        never = len(self.merges)
+        ends, starts = [*self.right[s], (s, never)], [*self.left[t], (t, never)]
+        i = j = 0
+        known = True
+        while True:
+            (a, a_goes), (b, b_goes) = ends[i], starts[j]
+            k = self.rank.get((a, b), never)
+            if k < a_goes and k <= b_goes and k < never:
+                known = False
+                break
+            if a_goes == b_goes == never:
+                break
+            # taken at the same rank: both are
+            i, j = i + (a_goes <= b_goes), j + (b_goes <= a_goes)
+        if len(self.pairs) > REMEMBERED:
+            self.pairs.clear()
+        self.pairs[s, t] = known
         return known
 
-    def stream(self, data: Iterable[int]) -> Iterator[int]:
-        """Ids of one word given byte by byte, each emitted once stable."""
-        window = bytearray()  # the bytes since the last emitted token
-        last: list[int] = [-1]  # last[k]: last token of the encoding of window[:k]
+    def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
+        """Ids of one word given in parts, each emitted once stable."""
+        last: list[int] = [-1]  # last[k]: last token of the encoding of the first k bytes since the last emitted token
+        base = 0  # bytes emitted
         before = -1  # the last emitted token
-        reach = self.longest
-        for byte in data:
-            window.append(byte)
-            end = len(window)
-            for start in range(max(0, end - reach), end):
-                token = self.by_bytes.get(bytes(window[start:end]))
-                if token is None:
+        tokens, follows = self.tokens, self.follows
+        search = self.automaton.iter("")
+        for part in parts:
+            search.set(part.decode("latin-1"))
+            for end, token in search:
+                # tokens that end here come longest first; one of them is right
+                at = end + 1 - base
+                if at < len(last):
                     continue
-                left = last[start] if start else before
-                if start and left < 0:
+                start = at - len(tokens[token])
+                if start < 0:
                     continue
-                if left < 0 or self.follows(left, token):
+                left = last[start] if start else before
+                if left < 0 or follows(left, token):
                     last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary has no token for a byte")
-            if end >= 2 * reach and end % reach == 0:
-                emitted = self._stable(window, last)
-                if emitted:
-                    yield from emitted
-                    cut = sum(len(self.tokens[t]) for t in emitted)
-                    before = emitted[-1]
-                    del window[:cut]
-                    last = [-1, *last[cut + 1 :]]
-        yield from self._chain(last, len(window))
-
-    def _chain(self, last: list[int], at: int) -> list[int]:
+                    if at >= 2 * self.reach:
+                        emitted = self._chain(last, at, at - self.reach)
+                        yield from emitted
+                        cut = sum(len(tokens[t]) for t in emitted)
+                        base, before, last = base + cut, emitted[-1], [-1, *last[cut + 1 :]]
+        yield from self._chain(last, len(last) - 1, len(last))
+
+    def _chain(self, last: list[int], at: int, stable: int) -> list[int]:
+        """The tokens on the way to ``at`` that end at ``stable`` or before."""
         out = []
         while at > 0:
-            out.append(last[at])
+            if at <= stable:
+                out.append(last[at])
             at -= len(self.tokens[last[at]])
         return out[::-1]
 
-    def _stable(self, window: bytearray, last: list[int]) -> list[int]:
-        live = set(range(len(window) - self.longest + 1, len(window) + 1))
-        while len(live) > 1:
-            at = max(live)
-            live.discard(at)
-            live.add(at - len(self.tokens[last[at]]))
-        return self._chain(last, live.pop())
+    def _cut(self, pieces: Iterable[str]) -> Iterator[list[str] | Iterator[str]]:
+        """The words of a text given in pieces, a block at a time; one longer than a block comes as its parts.
+
+        Parts must be used up before more is asked for.
+        """
+        feed = _Feed(pieces)
+        while feed.fill():
+            if feed.ended:
+                yield self.pattern.findall(feed.take(len(feed.text)))
+                continue
+            words, at = [], 0
+            for match in self.pattern.finditer(feed.text):
+                # the pattern looks at most two characters ahead
+                if match.end() + 2 >= len(feed.text):
+                    break
+                at = match.end()
+                words.append(match.group())
+            if at:
+                feed.take(at)
+                yield words
+            else:
+                kind = next(k for k, (head, _) in enumerate(self.runs) if head.match(feed.text))
+                yield self._parts(feed, *self.runs[kind], spaces=kind == 0)
+
+    @staticmethod
+    def _parts(feed: _Feed, head, run, spaces: bool) -> Iterator[str]:
+        """The run of like characters that ``feed`` starts with."""
+        over = False
+        while not over:
+            match = head.match(feed.text)
+            end = match.end() if match else 0
+            over = feed.ended or end < len(feed.text)
+            if spaces and not (feed.ended and end == len(feed.text)):
+                # the last blank belongs to what follows, if anything does
+                end -= 1
+            if end > 0:
+                yield feed.take(end)
+            feed.fill()
+            head = run
 
     def word(self, word: str) -> tuple[int, ...]:
-        data = word.encode("utf-8")
-        if len(data) > SHORT:
-            return tuple(self.stream(data))
-        found = tuple(self.merge(data))
+        found = tuple(self.stream((word.encode("utf-8"),)))
         if len(self.words) > REMEMBERED:
             self.words.clear()
         self.words[word] = found
         return found
 
+    def encode_stream(self, pieces: Iterable[str]) -> Iterator[int]:
+        """The ids of a text given in pieces of any size, in constant memory."""
+        known = self.words
+        for words in self._cut(pieces):
+            if isinstance(words, list):
+                for word in words:
+                    yield from known.get(word) or self.word(word)
+            else:
+                yield from self.stream(p.encode("utf-8") for p in words)
+
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        if text:
-            known = self.words
-            for match in self.pattern.finditer(text):
-                word = match.group()
-                out += known.get(word) or self.word(word)
+        known = self.words
+        for words in self._cut(_blocks(text)):
+            if isinstance(words, list):
+                for word in words:
+                    out += known.get(word) or self.word(word)
+            else:
+                out += self.stream(p.encode("utf-8") for p in words)
         return out
 
     def count(self, text: str | None) -> int:
-        total = 0
-        if text:
-            known = self.words
-            for match in self.pattern.finditer(text):
-                word = match.group()
-                total += len(known.get(word) or self.word(word))
+        known, total = self.words, 0
+        for words in self._cut(_blocks(text)):
+            if isinstance(words, list):
+                total += sum([len(known.get(word) or self.word(word)) for word in words])
+            else:
+                total += sum(1 for _ in self.stream(p.encode("utf-8") for p in words))
         return total
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
@@ -204,6 +283,10 @@ class Transducer:
             yield piece
 
 
+def _blocks(text: str | None) -> Iterator[str]:
+    return (text[k : k + BLOCK] for k in range(0, len(text or ""), BLOCK))
+
+
 _made: dict[tuple, Transducer] = {}
 
 

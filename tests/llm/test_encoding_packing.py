@@ -1,5 +1,6 @@
 import itertools
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -30,18 +31,84 @@ def known():
 @settings(max_examples=150, deadline=None)
 @given(st.one_of(st.text(max_size=80), st.text(alphabet="abcdeilnorst ", max_size=900), st.text(alphabet="ếạo \n'sl0", max_size=200)))
 def test_same_ids_and_back(made, known, text):
+    made.words.clear()
     ids = made.encode(text)
-    assert ids == known(text)
+    assert ids == known(text) == made.encode(text)
+    assert made.count(text) == len(ids)
     assert "".join(made.decode(ids)) == text
-    streamed = [i for m in made.pattern.finditer(text) for i in made.stream(m.group().encode())]
-    assert streamed == ids
+
+
+@needs_files
+def test_whole_table_like_the_public_tokenizer(made, known):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table(path, columns=["text"]).column(0).to_pylist():
+        assert made.encode(text) == (known(text) if text else [])
+
+
+@needs_files
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a", "ab", "é", "12", "7", " ", "  ", "\n", "\t ", "'", "'re", "'s", "-=", "…", "don't", " x"]), max_size=60), st.integers(6, 12), st.integers(1, 7))
+def test_blocks_change_nothing(made, known, words, block, piece):
+    text = "".join(words)
+    whole, encoding.BLOCK = encoding.BLOCK, block
+    try:
+        assert list(made.encode_stream(text[k : k + piece] for k in range(0, len(text), piece))) == known(text)
+    finally:
+        encoding.BLOCK = whole
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=12), st.lists(st.integers(0, 2), max_size=60))
+def test_tokens_are_stable_after_the_lookahead(pairs, data):
+    """Any merge list whose tokens differ: like the merge loop, and no emitted token changes later."""
+    tokens, merges = [bytes([b]) for b in range(256)], []
+    for a, b in pairs:
+        a, b = (x if x < 3 else 256 + x - 3 for x in (a, b))
+        if max(a, b) < len(tokens) and (new := tokens[a] + tokens[b]) not in tokens:
+            merges.append((a, b, len(tokens)))
+            tokens.append(new)
+
+    def loop(ids):
+        for a, b, c in merges:
+            out = []
+            for x in ids:
+                if out and (out[-1], x) == (a, b):
+                    out[-1] = c
+                else:
+                    out.append(x)
+            ids = out
+        return ids
+
+    made = encoding.Transducer(tokens, merges)
+    whole = loop(data)
+    if all(loop(list(t)) == [k] for k, t in enumerate(tokens)):
+        assert list(made.stream([bytes(data)])) == whole
+        assert list(made.stream(bytes([b]) for b in data)) == whole
+    ends = set(np.cumsum([len(tokens[t]) for t in whole]).tolist())
+    for k in range(len(data)):
+        own = np.cumsum([len(tokens[t]) for t in loop(data[:k])]).tolist()
+        assert {e for e in own if e <= k - made.reach} <= ends
 
 
 @needs_files
 def test_long_words_need_constant_memory(made, known):
-    for word in ("a" * 5000, "ab" * 3000, "-=" * 2000, "ế" * 1500, "<|endoftext|>" * 50):
+    for word in ("a" * 50_000, "ab" * 30_000, "-=" * 20_000, "ế" * 15_000, " " * 70_000 + "x", "<|endoftext|>" * 50):
         assert made.encode(word) == known(word)
-    assert made.lookahead() >= made.longest
+
+    def peak(size):
+        tracemalloc.start()
+        pieces = (("ab" * 5000 if k % 20 else " \n words") for k in range(size // 10_000))
+        assert sum(1 for _ in made.encode_stream(pieces)) > size // 20
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    first = peak(300_000)
+    assert peak(1_200_000) < 1.2 * first
 
 
 @needs_files
