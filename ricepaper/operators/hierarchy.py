@@ -1,17 +1,21 @@
 """Parent-child links to full hierarchies: paths, depths, roots, descendants and cycles.
 
-Method. Leaf peeling removes, round by round, the nodes all of whose children are gone; the round
-is the node's height. Nodes that never become leaves reach a cycle. They are trimmed from above in
-the same way, chains inside the remaining core are contracted by pointer jumping, and labels
-travelling both ways over the contracted core separate the nodes that lie on a cycle from those
-that only connect cycles. With the cycle nodes taken out, a second peel orders all other nodes;
-its reverse order hands root paths down. For descendants each strongly connected component is
-contracted to one node; peel order hands them up and the components are expanded again.
-
-Scale. Each round touches only counters of the parents of the nodes just removed; several rounds
-form one job (``BAND``) whose result is a table in the shared folder. Descendants are
-rows, not arrays, so one huge family is spread over tasks; nothing is collected to the driver but
-one count per job.
+Method. Chains of nodes with one way in and one way out are contracted to single links first, by
+pointer jumping, so that the rounds below go by the branching of the hierarchy, not by its depth.
+Leaf peeling then removes, round by round, the nodes all of whose children are gone; the round is
+the node's height. Nodes that never become leaves reach a cycle. They are trimmed from above in
+the same way, and labels travelling both ways over the core that is left separate the nodes that
+lie on a cycle from those that only connect cycles. With the cycle nodes taken out, a second peel
+orders all other nodes; its reverse order hands root paths down. For descendants each strongly
+connected component is contracted to one node; peel order hands them up and the components are
+expanded again. Last, the nodes inside chains get their paths and descendants from the chains' ends.
+
+Scale. A chain of n nodes takes about log2(n) rounds. Each round of peeling touches only counters
+of the parents of the nodes just removed; several heights form one job (``BAND``) when paths and
+descendants are handed on. Each round's table stands in the shared folder and is dropped once the
+next is written. Descendants are rows, not arrays, so one huge family is spread over tasks; only a
+chain's own ids form an array, as long as a path over it. Nothing is collected to the driver but
+counts. A node has one row per path, which grows exponentially over stacked diamonds.
 
 Defined results. Null, blank and unknown ids make no link; a repeated link counts once; a link to
 itself is a cycle; an empty table gives an empty result.
@@ -25,10 +29,10 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ricepaper.session import materialize, new_table_path, path_exists
+from ricepaper.session import materialize, new_table_path, path_exists, release
 
-#: Heights whose paths are handed on in one job.
-BAND = 4
+#: Heights whose paths are handed on in one job, and rounds of peeling in one job.
+BAND, ROUNDS = 4, 2
 
 
 def clean_id(column: Column) -> Column:
@@ -74,24 +78,28 @@ class Peeling:
         )
         self.done = 0
 
-    def _take(self, gone: DataFrame) -> bool:
-        """Tell the parents of the nodes ``gone``; true if that freed any."""
+    def _told(self, state: DataFrame, gone: DataFrame) -> DataFrame:
+        """``state`` after the parents of the nodes ``gone`` were told: one more round."""
         told = self.steps.join(gone, "node", "left_semi").groupBy(F.col("up").alias("node")).agg(F.count("*").alias("gone"))
         self.done += 1
         left = F.col("open") - F.coalesce("gone", F.lit(0))
         freed = F.col("height").isNull() & (left == 0)
-        seen = Observation()
-        self.state = materialize(
-            self.state.join(told, "node", "left")
-            .select("node", left.alias("open"), F.when(freed, F.lit(self.done)).otherwise(F.col("height")).alias("height"))
-            .observe(seen, F.max("height").alias("last")),
-            "peel",
-        )
+        return state.join(told, "node", "left").select("node", left.alias("open"), F.when(freed, F.lit(self.done)).otherwise(F.col("height")).alias("height"))
+
+    def _write(self, state: DataFrame) -> bool:
+        """Put ``state`` in place of the last one; true if its last round freed any node."""
+        seen, old = Observation(), self.state
+        self.state = materialize(state.observe(seen, F.max("height").alias("last")), "peel")
+        release(old)
         return seen.get.get("last") == self.done
 
     def run(self) -> "Peeling":
-        while self._take(self.state.where(F.col("height") == self.done).select("node")):
-            pass
+        freed = True
+        while freed:
+            state = self.state
+            for _ in range(ROUNDS):
+                state = self._told(state, state.where(F.col("height") == self.done).select("node"))
+            freed = self._write(state)
         return self
 
     def run_without(self, nodes: DataFrame) -> "Peeling":
@@ -101,54 +109,81 @@ class Peeling:
         """
         pending = materialize(self.rest().join(nodes.select("node"), "node", "left_semi"), "pending")
         out = nodes.select("node").withColumn("out", F.lit(True))
-        self.state = materialize(
-            self.state.join(out, "node", "left").select("node", F.when(F.col("out"), F.lit(-1)).otherwise(F.col("open")).alias("open"), F.when(F.col("out"), F.lit(-1)).otherwise(F.col("height")).alias("height")),
-            "peel",
-        )
-        return self.run() if self._take(pending) else self
+        state = self.state.join(out, "node", "left").select("node", F.when(F.col("out"), F.lit(-1)).otherwise(F.col("open")).alias("open"), F.when(F.col("out"), F.lit(-1)).otherwise(F.col("height")).alias("height"))
+        return self.run() if self._write(self._told(state, pending)) else self
 
     def rest(self) -> DataFrame:
         return self.state.where("height is null").select("node")
 
 
-def _jump_chains(core: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Contract nodes with one way in and one way out.
+class Chains:
+    """``links`` with every chain of nodes with one way in and one way out contracted.
 
-    Returns (links between the other nodes, (node, start, end) of each chain node, (node, component)
-    of bare cycles). Pointer jumping needs a number of rounds logarithmic in the longest chain.
+    ``direct(parent, child)`` are the links between the other nodes, ``segments(head, start, end,
+    hops)`` the chains between them, named by their first node, ``inside(node, head, place)`` the
+    nodes of the chains, counted from 1, ``bare(node, component)`` the nodes of cycles without any
+    other link. Nodes linked to themselves are in no chain.
     """
-    degree = (
-        core.select(F.col("parent").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), (F.col("parent") == F.col("child")).cast("int").alias("s"))
-        .unionByName(core.select(F.col("child").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"), F.lit(0).alias("s")))
-        .groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("s").alias("s"))
-    )
-    inner = materialize(degree.where("o = 1 and i = 1 and s = 0").select("node"), "chain")
-    total = inner.count()
-    hops = materialize(
-        inner.join(core.withColumnRenamed("parent", "node"), "node").withColumnRenamed("child", "end")
-        .join(core.select(F.col("child").alias("node"), F.col("parent").alias("start")), "node")
-        .withColumn("top", F.col("node")),
-        "hops",
-    )
-    rounds = max(1, total).bit_length() + 1
-    for at in range(rounds):
-        # the greatest id passed on the way to the end; round a bare cycle it names the cycle
-        onward = hops.select(F.col("node").alias("end"), F.col("end").alias("end2"), F.col("top").alias("top2"))
-        back = hops.select(F.col("node").alias("start"), F.col("start").alias("start2"))
-        hops = hops.join(onward, "end", "left").join(back, "start", "left").select(
-            "node", F.coalesce("start2", "start").alias("start"), F.coalesce("end2", "end").alias("end"), F.greatest("top", "top2").alias("top")
+
+    def __init__(self, links: DataFrame):
+        degree = (
+            links.select(F.col("parent").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), (F.col("parent") == F.col("child")).cast("int").alias("s"))
+            .unionByName(links.select(F.col("child").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"), F.lit(0).alias("s")))
+            .groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("s").alias("s"))
         )
-        if at % 3 == 2 or at == rounds - 1:
-            hops = materialize(hops, "hops")
-    bare = hops.join(inner.withColumnRenamed("node", "end"), "end", "left_semi").select("node", F.col("top").alias("component"))
-    chains = hops.join(inner.withColumnRenamed("node", "end"), "end", "left_anti")
-    kept = (
-        core.join(inner.withColumnRenamed("node", "parent"), "parent", "left_anti")
-        .join(inner.withColumnRenamed("node", "child"), "child", "left_anti")
-        .unionByName(chains.select(F.col("start").alias("parent"), F.col("end").alias("child")))
-        .distinct()
-    )
-    return kept.select("parent", "child"), chains.select("node", "start", "end"), bare
+        self.inner = materialize(degree.where("o = 1 and i = 1 and s = 0").select("node"), "inner")
+        before = links.join(self.inner.select(F.col("node").alias("child")), "child", "left_semi").join(
+            self.inner.select(F.col("node").alias("parent"), F.lit(True).alias("chained")), "parent", "left"
+        )
+        # at: an earlier node of the same chain, hops before; done once that is the chain's first
+        state = materialize(
+            before.select(
+                F.col("child").alias("node"), F.when(F.col("chained"), F.col("parent")).otherwise(F.col("child")).alias("at"),
+                F.when(F.col("chained"), 1).otherwise(0).alias("hops"), F.col("chained").isNull().alias("done"), F.col("child").alias("top"),
+            ),
+            "jumps",
+        )
+        was = None
+        while True:
+            onward = state.select(F.col("node").alias("at"), F.col("at").alias("at2"), F.col("hops").alias("hops2"), F.col("done").alias("done2"), F.col("top").alias("top2"))
+            seen, old = Observation(), state
+            moved = state.where("not done").join(onward, "at").select(
+                "node", F.col("at2").alias("at"), (F.col("hops") + F.col("hops2")).alias("hops"), F.col("done2").alias("done"), F.greatest("top", "top2").alias("top"),
+                (F.col("top2") > F.col("top")).alias("higher"),
+            )
+            state = materialize(
+                moved.unionByName(state.where("done").withColumn("higher", F.lit(False)))
+                .observe(seen, F.sum((~F.col("done")).cast("long")).alias("open"), F.sum((~F.col("done") & F.col("higher")).cast("long")).alias("higher")).drop("higher"),
+                "jumps",
+            )
+            release(old)
+            now = seen.get.get("open") or 0
+            # places of a chain have no gaps: when no node was done in a round, what is left runs in circles,
+            # and the greatest id passed on the way round names the circle
+            if not now or (now == was and not seen.get.get("higher")):
+                break
+            was = now
+        self.bare = state.where("not done").select("node", F.col("top").alias("component"))
+        self.inside = state.where("done").select("node", F.col("at").alias("head"), (F.col("hops") + 1).alias("place"))
+        ends = self.inside.groupBy("head").agg(F.max_by("node", "place").alias("tail"), (F.max("place") + 1).alias("hops"))
+        self.segments = materialize(
+            ends.join(links.select(F.col("child").alias("head"), F.col("parent").alias("start")), "head")
+            .join(links.select(F.col("parent").alias("tail"), F.col("child").alias("end")), "tail")
+            .select("head", "start", "end", "hops"),
+            "segments",
+        )
+        self.direct = links.join(self.inner.withColumnRenamed("node", "parent"), "parent", "left_anti").join(
+            self.inner.withColumnRenamed("node", "child"), "child", "left_anti"
+        ).select("parent", "child")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """Distinct links between the nodes that are kept, chains included."""
+        return materialize(self.direct.unionByName(self.segments.select(F.col("start").alias("parent"), F.col("end").alias("child"))).distinct(), "kept")
+
+    def members(self) -> DataFrame:
+        """``(node, head, place, start, end)`` of the nodes inside chains."""
+        return self.inside.join(self.segments.select("head", "start", "end"), "head")
 
 
 def _trim(links: DataFrame) -> DataFrame:
@@ -178,7 +213,7 @@ def _components(links: DataFrame) -> DataFrame:
         while moved:
             ahead = rest.join(state.select(F.col("node").alias("parent"), F.col("fwd").alias("m")), "parent").groupBy(F.col("child").alias("node")).agg(F.max("m").alias("f2"))
             behind = rest.join(state.select(F.col("node").alias("child"), F.col("bwd").alias("m")), "child").groupBy(F.col("parent").alias("node")).agg(F.max("m").alias("b2"))
-            seen = Observation()
+            seen, old = Observation(), state
             state = materialize(
                 state.join(ahead, "node").join(behind, "node")
                 .withColumn("moved", (F.col("f2") > F.col("fwd")) | (F.col("b2") > F.col("bwd")))
@@ -186,6 +221,7 @@ def _components(links: DataFrame) -> DataFrame:
                 .select("node", F.greatest("fwd", "f2").alias("fwd"), F.greatest("bwd", "b2").alias("bwd")),
                 "label",
             )
+            release(old)
             moved = bool(seen.get.get("moved"))
         done = state.where("fwd = bwd").select("node", F.col("fwd").alias("component"))
         found = done if found is None else found.unionByName(done)
@@ -196,22 +232,37 @@ def _components(links: DataFrame) -> DataFrame:
     return found
 
 
+def _cycle_nodes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, component)`` of the nodes on cycles, and the peeling of ``links`` between different nodes.
+
+    A component's name is the id of one of its nodes.
+    """
+    straight = links.where("parent <> child")
+    peeling = Peeling(straight).run()
+    members = links.where("parent = child").select(F.col("parent").alias("node"), F.col("parent").alias("component"))
+    residual = materialize(_within(straight, peeling.rest()), "residual")
+    if not residual.isEmpty():
+        core = materialize(_within(residual, Peeling(residual, bottom_up=False).run().rest()), "core")
+        found = materialize(_cycle_nodes_of_core(core), "found")
+        members = members.join(found, "node", "left_anti").unionByName(found)
+    return materialize(members, "cyclic"), peeling
+
+
 def _cycle_nodes_of_core(core: DataFrame) -> DataFrame:
-    """``(node, component)`` of the nodes on cycles; a component's name is the id of one of its nodes."""
-    kept, chains, bare = _jump_chains(core)
-    kept = materialize(kept, "kept")
-    comps = materialize(_components(_trim(kept.where("parent <> child"))), "comps")
-    turned = (
-        kept.where("parent = child").select(F.col("parent").alias("node")).join(comps, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("component"))
-    )
+    chains = Chains(core)
+    comps = materialize(_components(_trim(chains.links.where("parent <> child"))), "comps")
     sized = comps.join(comps.groupBy("component").count().where("count > 1"), "component", "left_semi").select("node", "component")
-    ends = (
-        chains.join(comps.select(F.col("node").alias("start"), F.col("component").alias("c1")), "start", "left")
-        .join(comps.select(F.col("node").alias("end"), F.col("component").alias("c2")), "end", "left")
+    turned = chains.links.where("parent = child").select(F.col("parent").alias("node"), F.col("parent").alias("component")).join(sized, "node", "left_anti")
+    known = sized.unionByName(turned)
+    return known.unionByName(_inside_components(chains, known)).unionByName(chains.bare)
+
+
+def _inside_components(chains: Chains, members: DataFrame) -> DataFrame:
+    """``(node, component)`` of the nodes inside chains whose two ends are in the same component."""
+    return (
+        chains.members().join(members.select(F.col("node").alias("start"), "component"), "start")
+        .join(members.select(F.col("node").alias("end"), "component"), ["end", "component"]).select("node", "component")
     )
-    linked = ends.where("start = end or c1 = c2").select("node", F.coalesce("c1", "start").alias("component"))
-    return turned.unionByName(sized).unionByName(linked).unionByName(bare)
 
 
 class Hierarchy:
@@ -219,47 +270,43 @@ class Hierarchy:
 
     def __init__(self, links: DataFrame):
         self.links = materialize(links.select("parent", "child"), "links")
-        loops = self.links.where("parent = child").select(F.col("parent").alias("node"))
-        straight = self.links.where("parent <> child")
-        self.peeling = Peeling(straight).run()
-        residual = materialize(_within(straight, self.peeling.rest()), "residual")
-        members = loops.withColumn("component", F.col("node"))
-        if not residual.isEmpty():
-            core = materialize(_within(residual, Peeling(residual, bottom_up=False).run().rest()), "core")
-            found = materialize(_cycle_nodes_of_core(core).distinct(), "found")
-            members = members.join(found, "node", "left_anti").unionByName(found)
+        self.nodes = self.links.select(F.col("parent").alias("node")).unionByName(self.links.select(F.col("child").alias("node"))).distinct()
+        self.chains = Chains(self.links)
+        kept, self.peeling = _cycle_nodes(self.chains.links)
         #: The nodes on cycles and the strongly connected component of each.
-        self.members = materialize(members, "cyclic")
+        self.members = materialize(kept.unionByName(_inside_components(self.chains, kept)).unionByName(self.chains.bare), "members")
         self.cyclic = self.members.select("node")
-        free = self.links.join(self.cyclic.withColumnRenamed("node", "parent"), "parent", "left_anti")
-        free = free.join(self.cyclic.withColumnRenamed("node", "child"), "child", "left_anti")
-        self.free = materialize(free.select("parent", "child"), "free")
-        # a node whose only link is to itself is an end of no straight link
-        self.nodes = self.peeling.state.select("node").unionByName(self.cyclic).distinct()
+        self.cyclic_kept = kept.select("node")
 
     @cached_property
     def heights(self) -> DataFrame:
-        """``(node, height)`` of the nodes off cycles."""
-        heights = self.peeling.run_without(self.cyclic).state.select("node", "height")
-        return materialize(heights.join(self.cyclic, "node", "left_anti"), "heights")
+        """``(node, height, band)`` of the nodes off cycles that are inside no chain."""
+        heights = self.peeling.run_without(self.cyclic_kept).state.select("node", "height", F.floor(F.col("height") / BAND).cast("int").alias("band"))
+        return materialize(heights.join(self.cyclic_kept, "node", "left_anti"), "heights")
 
     def paths(self) -> DataFrame:
         """``(node, root, depth, path)``: one row per path from a root, in reverse peel order."""
-        band = F.floor(F.col("height") / BAND).cast("int")
-        place = self.heights.select("node", band.alias("band"))
-        steps = self.free.join(place.select(F.col("node").alias("child"), F.col("band").alias("to_band")), "child")
-        steps = materialize(steps.select(F.col("parent").alias("node"), "child", "to_band"), "steps")
-        roots = self.nodes.join(self.links.select(F.col("child").alias("node")), "node", "left_anti").join(self.cyclic, "node", "left_anti")
-        start = roots.join(place, "node", "left").select(
-            "node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("node").alias("path"), F.coalesce("band", F.lit(0)).alias("band")
+        place = self.heights.select("node", "band")
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda x: x["node"])
+        labels = materialize(self.chains.inside.groupBy("head").agg(ids.alias("ids")).join(self.chains.segments, "head"), "labels")
+        steps = self.chains.direct.where("parent <> child").select(F.col("parent").alias("node"), "child", F.lit(1).alias("hops"), F.col("child").alias("more")).unionByName(
+            labels.select(F.col("start").alias("node"), F.col("end").alias("child"), "hops", F.concat_ws(">", F.array_join("ids", ">"), "end").alias("more"))
         )
+        steps = steps.join(place.select(F.col("node").alias("child"), F.col("band").alias("to_band")), "child").join(place.select("node"), "node", "left_semi")
+        steps = materialize(steps, "steps")
+        roots = place.join(self.links.select(F.col("child").alias("node")), "node", "left_anti")
+        start = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("node").alias("path"), "band")
 
         def extend(here: DataFrame) -> DataFrame:
             return here.join(steps, "node").select(
-                F.col("child").alias("node"), "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit(">"), "child").alias("path"), F.col("to_band").alias("band")
+                F.col("child").alias("node"), "root", (F.col("depth") + F.col("hops")).alias("depth"), F.concat("path", F.lit(">"), "more").alias("path"), F.col("to_band").alias("band")
             )
 
-        return self._hand_on(start, extend, place, down=True).select("node", "root", "depth", "path")
+        outer = self._hand_on(start, extend, place, down=True).select("node", "root", "depth", "path")
+        inner = self.chains.inside.join(labels.select("head", "start", "ids"), "head").join(outer.withColumnRenamed("node", "start"), "start").select(
+            "node", "root", (F.col("depth") + F.col("place")).alias("depth"), F.concat_ws(">", "path", F.array_join(F.slice("ids", F.lit(1), F.col("place")), ">")).alias("path")
+        )
+        return outer.unionByName(inner)
 
     def _hand_on(self, start: DataFrame, extend, place: DataFrame, down: bool) -> DataFrame:
         """Band by band, extend the rows that arrived; all rows made, by band, are the result.
@@ -295,15 +342,29 @@ class Hierarchy:
 
     def descendants(self) -> DataFrame:
         """``(node, descendant)`` over links between nodes off cycles, handed up in peel order."""
-        place = self.heights.select("node", F.floor(F.col("height") / BAND).cast("int").alias("band"))
-        up = self.free.join(place.select(F.col("node").alias("parent"), F.col("band").alias("to_band")), "parent")
-        up = materialize(up.select(F.col("child").alias("node"), "parent", "to_band"), "ups")
+        place = self.heights.select("node", "band")
+        up = self.chains.links.join(place.select(F.col("node").alias("parent"), F.col("band").alias("to_band")), "parent")
+        up = materialize(up.select(F.col("child").alias("node"), "parent", "to_band").join(place.select("node"), "node", "left_semi"), "ups")
         own = up.join(place, "node").select(F.col("parent").alias("node"), F.col("node").alias("descendant"), F.col("to_band").alias("band"))
 
         def extend(here: DataFrame) -> DataFrame:
             return here.join(up, "node").select(F.col("parent").alias("node"), "descendant", F.col("to_band").alias("band")).distinct()
 
-        return self._hand_on(own.distinct(), extend, place, down=False).select("node", "descendant").distinct()
+        outer = materialize(self._hand_on(own.distinct(), extend, place, down=False).select("node", "descendant").distinct(), "outer")
+        # from and to the nodes inside chains
+        reach = outer.unionByName(place.select("node", F.col("node").alias("descendant")))
+        inside = materialize(self.chains.members().join(self.cyclic, "node", "left_anti"), "inside")
+        segments = self.chains.segments
+        into = reach.join(inside.select(F.col("start").alias("descendant"), F.col("node").alias("x")), "descendant").select("node", F.col("x").alias("descendant"))
+        out = inside.select("node", "end").join(reach.withColumnRenamed("node", "end"), "end").select("node", "descendant")
+        between = (
+            segments.select(F.col("head").alias("head1"), F.col("end").alias("node")).join(reach, "node")
+            .join(segments.select(F.col("head").alias("head2"), F.col("start").alias("descendant")), "descendant").select("head1", "head2")
+        )
+        across = between.join(inside.select(F.col("head").alias("head1"), "node"), "head1").join(inside.select(F.col("head").alias("head2"), F.col("node").alias("descendant")), "head2").select("node", "descendant")
+        later = inside.select("head", F.col("place").alias("later"), F.col("node").alias("descendant"))
+        along = inside.join(later, "head").where("later > place").select("node", "descendant")
+        return outer.unionByName(into).unionByName(out).unionByName(across).unionByName(along)
 
     def all_descendants(self) -> DataFrame:
         """``(node, descendant)`` over all links; a node on a cycle is its own descendant, too."""

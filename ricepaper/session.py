@@ -79,7 +79,15 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     path = new_table_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._table_path = path
+    return made
+
+
+def release(df: DataFrame) -> None:
+    """Drop the table behind ``df``, made by :func:`materialize`, which nothing reads any more."""
+    if path := getattr(df, "_table_path", None):
+        drop_table(df.sparkSession, path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

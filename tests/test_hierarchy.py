@@ -1,3 +1,5 @@
+import random
+
 from ricepaper.operators.hierarchy import course_descendants, course_hierarchy
 
 EDGE = "`from` string, `to` string, type string, extra string"
@@ -67,3 +69,34 @@ def test_descendants_through_cycles(spark):
     rows = course_descendants(*tables(spark, links)).collect()
     assert sorted((r.course_id, r.descendant_id) for r in rows if r.descendant_id) == sorted(reach)
     assert {(r.course_id, r.subtree_size) for r in rows} == {(n, sum(a == n for a, _ in reach)) for n in {n for x in links for n in x}}
+
+
+def test_random_graphs_against_brute_force(spark):
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        links = {(f"N{a}", f"N{b}") for a, b in (rng.sample(range(26), 2) for _ in range(22)) if rng.random() < (0.3, 0.6, 0.8, 1)[seed] or a < b}
+        # chains hung between, into and out of these, one of them closed, and a circle of its own
+        for k, (a, b, n) in enumerate([(0, 5, 6), (0, 5, 6), (7, 7, 4), (9, 3, 5), (None, 2, 5), (4, None, 7), (None, None, 4)]):
+            own = ([f"N{a}"] if a is not None else []) + [f"C{k}_{i}" for i in range(n)] + ([f"N{b}"] if b is not None else [])
+            links |= set(zip(own, own[1:]))
+        links |= {(f"R{i}", f"R{(i + 1) % 9}") for i in range(9)}
+        reach = set(links)
+        while more := {(a, d) for a, b in reach for c, d in links if b == c} - reach:
+            reach |= more
+        nodes, cyclic = {n for x in links for n in x}, {a for a, b in reach if a == b}
+        want, front = {(n, "cycle", "", -1, "") for n in cyclic}, [(n, n, 0, n) for n in nodes - cyclic - {b for _, b in links}]
+        while front:
+            want |= {(n, "path", r, d, p) for n, r, d, p in front}
+            front = [(b, r, d + 1, f"{p}>{b}") for n, r, d, p in front for a, b in links if a == n and b not in cyclic]
+        want |= {(n, "blocked", "", -1, "") for n in nodes - {x[0] for x in want}}
+        table = [(a, b) for a, b in sorted(links)]
+        assert states(spark, table) == {(a.upper(), s, r, d, p) for a, s, r, d, p in want}
+        rows = course_descendants(*tables(spark, table)).collect()
+        assert sorted((r.course_id, r.descendant_id) for r in rows if r.descendant_id) == sorted(reach)
+
+
+def test_rounds_do_not_go_by_the_depth(spark):
+    """A chain of 3000 nodes and one that leaves it half way."""
+    links = [(f"N{i:05}", f"N{i + 1:05}") for i in range(3000)] + [("N01500", "X0"), ("X0", "X1")]
+    got = course_hierarchy(*tables(spark, links)).where("course_id in ('N03000', 'X1', 'N01501')").select("course_id", "root_id", "depth").collect()
+    assert sorted(map(tuple, got)) == [("N01501", "N00000", 1501), ("N03000", "N00000", 3000), ("X1", "N00000", 1502)]
