@@ -5,7 +5,10 @@ second level gets centroids in proportion to the vectors, so lists come out of l
 Centroids are searched through an in-memory neighbour graph (best-first with a bounded beam),
 never one by one. A vector near a boundary is replicated to several lists: those whose centroid is
 not farther than ``(1 + ratio)`` times the nearest. Inside a list vectors are compared in blocks of
-matrix products and each keeps its best ``k``; results of its lists are merged.
+matrix products and each keeps its best ``k``; results of its lists are merged. The first index is
+fitted on a bounded sample, so over very many vectors its lists grow; a list of more than
+``SUB_ROWS`` rows gets an index of its own in its task, fitted on its own rows, and is searched
+through that, so the work for a vector stays bounded while lists grow.
 
 Vectors travel as 16-bit codes of their direction, which keeps similarities to about 1e-5; pairs
 that lie closer than that to a floor are measured again on the original numbers.
@@ -38,7 +41,9 @@ FIT_ROWS = 65_536
 LIST_TARGET = 220
 MAX_LISTS = FIT_ROWS // 8
 #: Rows of a list handled in one task; longer lists are split.
-LIST_ROWS = 20_000
+LIST_ROWS = 100_000
+#: Rows of a list in a task that are compared with each other; a longer one is indexed again.
+SUB_ROWS = 8_192
 #: Neighbours of a centroid in the graph, and entries kept during a search.
 DEGREE, BEAM, HOPS = 24, 24, 5
 STEP = 32767.0
@@ -218,6 +223,32 @@ def post(codes: DataFrame, index, copies: int, ratio: float, dim: int = 64, beam
     return codes.select("key", "code").mapInArrow(run, "list int, part int, key binary, code binary")
 
 
+def _sublists(x: np.ndarray, q: np.ndarray, m: np.ndarray, copies: int = 6, ratio: float = 0.25) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(rows that ask, rows that answer)`` to compare: all with all, or list by list of an index over ``m``."""
+    if len(m) <= SUB_ROWS:
+        yield q, m
+        return
+    step = max(1, len(m) // SUB_ROWS)
+    index = ListIndex(x[m[::step]], len(m))
+    asked, held = [], []
+    for rows, out in ((q, asked), (m, held)):
+        for s in range(0, len(rows), 2048):
+            own = rows[s : s + 2048]
+            ids, sims = index.search(x[own], copies)
+            far = np.sqrt(np.maximum(0, 2 - 2 * sims))
+            row, slot = np.nonzero(far <= (1 + ratio) * far[:, :1] + 1e-6)
+            out.append((ids[row, slot], own[row]))
+    lists, rows = (np.concatenate(c) for c in zip(*asked))
+    at, members = (np.concatenate(c) for c in zip(*held))
+    # rows stay in their order, which is that of the keys, inside each list
+    order, back = np.argsort(lists, kind="stable"), np.argsort(at, kind="stable")
+    bounds = np.arange(len(index.centroids) + 1)
+    lo, hi = np.searchsorted(lists[order], bounds), np.searchsorted(at[back], bounds)
+    for k in range(len(index.centroids)):
+        if lo[k] < lo[k + 1] and hi[k] < hi[k + 1]:
+            yield rows[order[lo[k] : lo[k + 1]]], members[back[hi[k] : hi[k + 1]]]
+
+
 def _best_in_lists(k: int, floor: float, dim: int, roles: bool):
     """Compare the rows of each list; rows arrive sorted by list, part and key."""
 
@@ -232,20 +263,26 @@ def _best_in_lists(k: int, floor: float, dim: int, roles: bool):
         if not len(q) or not len(m):
             return None
         names = np.array(keys, dtype=object)
-        xm, found = x[m], []
+        found = [p for own_q, own_m in _sublists(x, q, m) for p in pairs(x, names, own_q, own_m)]
+        if not found:
+            return None
+        a, b, sim = (np.concatenate(p) for p in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(names[a], pa.binary()), pa.array(names[b], pa.binary()), pa.array(sim)], names=["a", "b", "sim"])
+
+    def pairs(x: np.ndarray, names: np.ndarray, q: np.ndarray, m: np.ndarray) -> Iterator[tuple]:
+        """``(asking rows, answering rows, cosines)``: of each row of ``q`` the best ``k`` in ``m``."""
+        xm = x[m]
         for s in range(0, len(q), 512):
             rows = q[s : s + 512]
             sims = xm @ x[rows].T
             sims = np.round(sims.T.astype(np.float64), 6)
-            if roles:
-                sims[names[m][None, :] == names[rows][:, None]] = -2
-            else:
-                sims[np.arange(len(rows)), np.arange(s, s + len(rows))] = -2
+            sims[names[m][None, :] == names[rows][:, None]] = -2
             hit = sims >= floor
             many = hit.sum(axis=1)
             few = (many > 0) & (many <= k)
             i, j = np.nonzero(hit & few[:, None])
-            found.append((rows[i], m[j], sims[i, j]))
+            if len(i):
+                yield rows[i], m[j], sims[i, j]
             for r in np.flatnonzero(many > k):
                 own = np.flatnonzero(hit[r])
                 if len(own) > 4 * k:
@@ -253,11 +290,7 @@ def _best_in_lists(k: int, floor: float, dim: int, roles: bool):
                     own = own[sims[r, own] >= least]
                 # members are in key order, so the stable sort settles ties
                 own = own[np.argsort(-sims[r, own], kind="stable")[:k]]
-                found.append((np.full(len(own), rows[r]), m[own], sims[r, own]))
-        a, b, sim = (np.concatenate(p) for p in zip(*found))
-        if not len(a):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(names[a], pa.binary()), pa.array(names[b], pa.binary()), pa.array(sim)], names=["a", "b", "sim"])
+                yield np.full(len(own), rows[r]), m[own], sims[r, own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, codes, asks = None, [], [], []
@@ -282,9 +315,10 @@ def _best_in_lists(k: int, floor: float, dim: int, roles: bool):
 
 
 class Copies:
-    """Representatives of exact copies, and the way back."""
+    """Representatives of exact copies, and the way back for the best ``k`` of each."""
 
-    def __init__(self, codes: DataFrame):
+    def __init__(self, codes: DataFrame, k: int):
+        self.k = k
         hashed = codes.withColumn("h", F.xxhash64("code"))
         again = materialize(hashed.groupBy("h").agg(F.count("*").alias("many")).where("many > 1").select("h"), "again")
         twice = hashed.join(again, "h", "left_semi").groupBy("code", "key").agg(F.lit(1).alias("one"))
@@ -293,25 +327,27 @@ class Copies:
         self.reps = hashed.join(again, "h", "left_anti").select("key", "code").unionByName(self.groups.select(F.col("rep").alias("key"), "code"))
         order = Window.partitionBy("code").orderBy("key")
         shared = twice.join(self.groups.where("size > 1"), "code")
-        #: every copy of a vector that several ids hold, and the first six of each in order
+        #: every copy of a vector that several ids hold, and the first of each in order
         self.members = materialize(shared.select("rep", F.col("key").alias("member")), "members")
         self.first = materialize(
-            shared.select("code", "rep", "key").withColumn("place", F.row_number().over(order)).where("place <= 6").select("rep", F.col("key").alias("member"), "place"), "firstsix"
+            shared.select("code", "rep", "key").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("rep", F.col("key").alias("member"), "place"), "firsts"
         )
 
-    def expand(self, found: DataFrame, k: int) -> DataFrame:
-        """``(a, b, sim)`` over ids from ``found`` over representatives: each id's best ``k``."""
-        first = self.first.select("rep", "member")
-        here = self.first.where("place <= 5").select(F.col("rep").alias("a"), F.col("member").alias("am"))
-        there = first.select(F.col("rep").alias("b"), F.col("member").alias("bm"))
+    def expand(self, found: DataFrame) -> DataFrame:
+        """``(a, b, sim)`` over ids from ``found`` over representatives: each id's best ``k``.
+
+        Of more than ``k`` copies each has its best among the others, so only smaller groups ask elsewhere.
+        """
+        first = self.first.where(F.col("place") <= self.k).select("rep", "member")
+        here, there = first.select(F.col("rep").alias("a"), F.col("member").alias("am")), first.select(F.col("rep").alias("b"), F.col("member").alias("bm"))
         others = found.join(here, "a", "left").join(there, "b", "left").select(F.coalesce("am", "a").alias("a"), F.coalesce("bm", "b").alias("b"), "sim")
-        # among copies, each looks first at the first five others
-        own = self.members.join(self.first, "rep").where("place <= 6").select(self.members["member"].alias("a"), self.first["member"].alias("b"), F.lit(1.0).alias("sim")).where("a <> b")
+        # among copies, each looks at the first others
+        own = self.members.join(self.first, "rep").select(self.members["member"].alias("a"), self.first["member"].alias("b"), F.lit(1.0).alias("sim")).where("a <> b")
         order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-        return others.unionByName(own).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+        return others.unionByName(own).withColumn("place", F.row_number().over(order)).where(F.col("place") <= self.k).drop("place")
 
 
-def nearest(points: DataFrame, k: int = 5, floor: float = -1.0, queries: Column | None = None, copies: int = 4, ratio: float = 0.12, probes: int = 64, probe_ratio: float = 0.9, dim: int = 64) -> DataFrame:
+def nearest(points: DataFrame, k: int = 5, floor: float = -1.0, queries: Column | None = None, copies: int = 4, ratio: float = 0.12, probes: int = 12, probe_ratio: float = 0.3, dim: int = 64) -> DataFrame:
     """``(id, neighbour, similarity)``: the ``k`` most similar other vectors with cosine >= ``floor``.
 
     Without ``queries`` every vector asks, in the lists it stands in itself. With ``queries`` (a
@@ -320,7 +356,7 @@ def nearest(points: DataFrame, k: int = 5, floor: float = -1.0, queries: Column
     """
     spark = points.sparkSession
     codes = materialize(direction_codes(points.select("id", "vector"), dim), "codes")
-    kept = Copies(codes)
+    kept = Copies(codes, k)
     rows = codes.count()
     if rows == 0:
         return spark.createDataFrame([], "id string, neighbour string, similarity double")
@@ -339,7 +375,7 @@ def nearest(points: DataFrame, k: int = 5, floor: float = -1.0, queries: Column
         run = _best_in_lists(k, slack, dim, roles=True)
     found = posted.mapInArrow(run, "a binary, b binary, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     found = materialize(found, "found")
-    named = kept.expand(found, k).select(key_id(F.col("a")).alias("id"), key_id(F.col("b")).alias("neighbour"), F.col("sim").alias("similarity"))
+    named = kept.expand(found).select(key_id(F.col("a")).alias("id"), key_id(F.col("b")).alias("neighbour"), F.col("sim").alias("similarity"))
     if queries is not None:
         named = named.where(queries)
     if floor <= -1.0:

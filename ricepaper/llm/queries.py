@@ -51,6 +51,11 @@ def p5_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(neighbours.chunk_points(_table(spark, sf_dir, "points")), 5, queries=asked)
 
 
+def p5_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar of every point, by the setting of p5_found."""
+    return neighbours.nearest(neighbours.chunk_points(_table(spark, sf_dir, "points")), 5)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_labels": p3_labels,
     "p5_found": p5_found,
     "p5_top5": p5_top5,
+    "p5_every": p5_every,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
     "p7_prompts": p7_prompts,

@@ -74,3 +74,51 @@ def test_empty(spark):
     assert neighbours.near_pairs(points(spark, [])).count() == 0
     assert neighbours.near_pairs(points(spark, [("a", None, None)])).count() == 0
     assert neighbours.near_pairs(points(spark, [("a", [1.0] * 64, None)])).count() == 0
+
+
+def recall(got, x, ids, k, asked=lambda i: True):
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = total = 0
+    for at, i in enumerate(ids):
+        if asked(i):
+            s = u @ u[at]
+            s[at] = -2
+            best = {ids[j] for j in np.argsort(-s)[:k]}
+            hits, total = hits + len(best & got.get(i, set())), total + k
+    return hits / total
+
+
+def grouped(df):
+    return df.toPandas().groupby("id").neighbour.apply(set).to_dict()
+
+
+def test_recall_of_every_vector_and_of_lists_indexed_again(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(60, 64)), 50, axis=0) + 0.5 * rng.normal(size=(3000, 64))
+    ids = [f"{k * 104729:032x}" for k in range(len(x))]
+    df = points(spark, [(i, v.tolist(), None) for i, v in zip(ids, x)])
+    assert recall(grouped(neighbours.nearest(neighbours.chunk_points(df), 5)), x, ids, 5) >= 0.9
+    # one list over all, searched through an index of its own
+    monkeypatch.setattr(neighbours, "SUB_ROWS", 500)
+    keys = [i.encode() for i in sorted(ids)]
+    order = np.argsort(ids)
+    u = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)[order]
+    rows = np.arange(len(u))
+    got = {}
+    for q, m in neighbours._sublists(u, rows, rows):
+        assert len(q) < len(u) / 3
+        for a in q:
+            s = u[m] @ u[a]
+            s[m == a] = -2
+            for j in np.argsort(-s)[:5]:
+                got.setdefault(a, {})[m[j]] = s[j]
+    best = {keys[a].decode(): {keys[b].decode() for b in sorted(o, key=o.get)[-5:]} for a, o in got.items()}
+    assert recall(best, x, ids, 5) >= 0.9
+
+
+def test_copies_for_more_than_five(spark):
+    x = made(120, 9)
+    rows = [(f"n{k:04}", v.tolist(), None) for k, v in enumerate(x)] + [(f"z{k:04}", (x[10] * (k % 3 + 1)).tolist(), None) for k in range(30)] + [(f"y{k:04}", x[20].tolist(), None) for k in range(4)]
+    got = {tuple(sorted(p)) for p in neighbours.nearest(points(spark, rows).select("id", "vector"), 8, 0.9).select("id", "neighbour").collect()}
+    want = brute([r[0] for r in rows], np.array([r[1] for r in rows]), 8)
+    assert got == want
