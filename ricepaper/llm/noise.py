@@ -1,18 +1,20 @@
 """Noise in text from scanned pages: divided words, misread characters, running headers, page numbers.
 
 Method. A corpus frequency lexicon is counted first, divided words apart. A symmetric-delete index
-over it proposes corrections: both the unknown token and the lexicon words give keys with one
-confusable group of characters deleted (digits and marks inside a word are first replaced by the
-letters they stand for; course codes meet under the key with all confusable characters folded).
-A weighted edit distance that knows only confusion pairs keeps what they explain, frequency ranks
-it, and where two repairs are close, the bigrams with the neighbouring words decide.
+over it proposes corrections: both the unknown token and the lexicon words give keys with one or two
+confusable groups of characters deleted (digits and marks inside a word are first replaced by the
+letters they stand for; course codes meet under the key with all confusable characters folded, and
+so do tokens with many ambiguous marks). A weighted edit distance that knows only confusion pairs
+keeps what they explain, frequency ranks it, and where repairs are close, the bigrams with the
+neighbouring words decide.
 Lines that recur over a document's chunks, with page numbers and misread characters folded away,
 are running headers; lines that are nothing but a number in page style are page numbers.
 
 Scale. Two narrow passes over the whole texts, in which Python counts and looks up tokens at C
 speed; only counts, rare tokens and candidate lines are shuffled, never texts. What is broadcast
-is the top ``TRUSTED`` words by frequency; tokens beyond are looked up by a join, so the bound
-drops no case. Repeated rows are counted once.
+is the top ``TRUSTED`` words by frequency. It saves rows only: words beyond it, their bigrams and
+compounds are looked up by joins, so the results are the same for any ``TRUSTED``. Repeated rows
+are counted once.
 
 Defined results. Null and blank texts have no cases; a number after a label line is a value, not a
 page number; a word divided at its own hyphen keeps it if the corpus writes it so.
@@ -32,8 +34,10 @@ from pyspark.sql import types as T
 
 from ricepaper.session import materialize
 
-#: Words known to every task, most frequent first.
+#: Words known to every task, most frequent first; changes no result.
 TRUSTED = 100_000
+#: A token with more marks that stand for several letters is looked up with these letters folded.
+AMBIGUOUS = 4
 #: A correction must be so many times as frequent as the token it replaces.
 TIMES = 3
 #: Entries of a task's counters before they are handed on.
@@ -60,7 +64,9 @@ for _seen, _true, _ in CONFUSIONS:
     if len(_seen) == 1 and _seen in _SYMBOLS:
         _MARKS.setdefault(_seen, []).append(_true)
 _LETTERS = [(o, t) for o, t, _ in CONFUSIONS if o not in _MARKS]
-_COST = {(o, t): c for o, t, c in CONFUSIONS}
+_SEVERAL = frozenset(c for c, ways in _MARKS.items() if len(ways) > 1)
+_SEEN_GROUPS, _TRUE_GROUPS = sorted({o for o, _ in _LETTERS}), sorted({t for _, t in _LETTERS})
+_FOLDED_SEEN, _FOLDED_TRUE = (sorted({g.replace("i", "1").replace("l", "1") for g in groups}) for groups in (_SEEN_GROUPS, _TRUE_GROUPS))
 _DIVIDED = re.compile(rf"([^\s]*[^\W_]['’]?)[{HYPHENS}]{{1,2}}[ \t\xa0]*$")
 _N = r"[\dlIOoSBZ|!]{1,5}"
 _BARE = re.compile(rf"(?=[^\n]*\d)[\dlIOoSBZ|!]{{1,4}}|[l|I]{{1,3}}|[ivxlc]{{1,8}}|[IVXLC]{{1,8}}")
@@ -182,11 +188,11 @@ def cost(seen: str, true: str) -> float | None:
 
 
 def _variants(token: str) -> list[str]:
-    """The token with marks and digits replaced by the letters they stand for, at most 16 ways."""
+    """The token with marks and digits replaced by the letters they stand for, in every way."""
     out = [""]
     for ch in token:
         ways = _MARKS.get(ch, [ch])
-        out = [p + w for p in out for w in ways][:16]
+        out = [p + w for p in out for w in ways]
     return out
 
 
@@ -194,20 +200,39 @@ def code_key(token: str) -> str:
     return "#" + "".join(CODE_CLASSES.get(c, c) for c in token)
 
 
+def _folded(word: str) -> str:
+    """The word with the letters that one mark may stand for made equal, and other marks replaced."""
+    return "~" + "".join("1" if c in "il" or c in _SEVERAL else _MARKS.get(c, [c])[0] for c in word)
+
+
+def _deletes(word: str, groups: list[str], keys: set[str]) -> None:
+    """Add ``word`` with one or two of ``groups`` deleted, each marked by a tab."""
+    # groups of several characters start in few places, so look for the first character
+    found = [(at, at + len(g)) for g in groups if g in word for at in range(word.find(g), len(word)) if word.startswith(g, at)]
+    found.sort()
+    for k, (a, b) in enumerate(found):
+        head = word[:a] + "\t"
+        keys.add(head + word[b:])
+        for c, d in found[k + 1 :]:
+            if c >= b:
+                keys.add(f"{head}{word[b:c]}\t{word[d:]}")
+
+
 def unknown_keys(token: str) -> set[str]:
     """Index keys of a token that may be misread."""
     keys: set[str] = set()
     if _CODE_LIKE.fullmatch(token) and any(c.isdigit() for c in token):
         keys.add(code_key(token))
     if sum(c.isalpha() for c in token) * 2 >= len(token):
+        if sum(c in _SEVERAL for c in token) > AMBIGUOUS:
+            folded = _folded(token)
+            keys.add(folded)
+            _deletes(folded, _FOLDED_SEEN, keys)
+            return keys
         for v in _variants(token):
             if v != token:
                 keys.add(v)
-            for o, _ in _LETTERS:
-                at = v.find(o)
-                while at >= 0:
-                    keys.add(f"{v[:at]}\t{v[at + len(o):]}")
-                    at = v.find(o, at + 1)
+            _deletes(v, _SEEN_GROUPS, keys)
     return keys
 
 
@@ -218,18 +243,20 @@ def lexicon_keys(word: str) -> set[str]:
     if not _WORD.fullmatch(word):
         return set()
     keys = {word}
-    for _, t in _LETTERS:
-        at = word.find(t)
-        while at >= 0:
-            keys.add(f"{word[:at]}\t{word[at + len(t):]}")
-            at = word.find(t, at + 1)
+    _deletes(word, _TRUE_GROUPS, keys)
+    # fewer of these letters can't come from so many ambiguous marks
+    if word.count("i") + word.count("l") > AMBIGUOUS:
+        folded = _folded(word)
+        keys.add(folded)
+        _deletes(folded, _FOLDED_TRUE, keys)
     return keys
 
 
 def _code_cost(seen: str, true: str) -> float | None:
     if len(seen) != len(true) or code_key(seen) != code_key(true):
         return None
-    return 0.3 * sum(a != b for a, b in zip(seen, true))
+    # a digit is rarely taken for another digit
+    return sum(1.0 if a.isdigit() and b.isdigit() else 0.3 for a, b in zip(seen, true) if a != b)
 
 
 def repair_cost(seen: str, true: str) -> float | None:
@@ -379,10 +406,9 @@ def _look(shared):
                                 rows.append(("header", cid, k + 1, doc or "", found[0], None, None, 0))
                             previous = line
                     for k, j, a, b in divided_words(lines) if _ENDS_DIVIDED.search(text) else ():
-                        whole, compound = norm(a + b), f"{norm(a)}-{norm(b)}"
                         lasts.add(k)
                         firsts[j] = b
-                        rows.append(("divided", cid, k + 1, None, whole, compound if compound in trusted else None, None, 1 if whole in trusted else 0))
+                        rows.append(("divided", cid, k + 1, None, norm(a + b), f"{norm(a)}-{norm(b)}", None, 0))
                 for k, line in enumerate(lines):
                     if k in skip:
                         continue
@@ -443,18 +469,15 @@ def found_cases(chunks: DataFrame) -> DataFrame:
     texts = _texts(chunks)
     counts = materialize(texts.mapInArrow(_count, _COUNTED).groupBy("kind", "doc", "key").agg(F.sum("n").alias("n"), F.sum("more").alias("more")), "counts")
     words = materialize(lexicon(counts), "lexicon")
-    place = Window.partitionBy("token").orderBy("score", "repaired")
-    ranked = corrections(words).withColumn("place", F.row_number().over(place)).where("place <= 3")
-    best = F.min("score").over(Window.partitionBy("token"))
+    own = Window.partitionBy("token")
     # candidates within a factor of about twenty of the best stay for the context to decide
-    close = ranked.withColumn("best", best).where(F.col("score") <= F.col("best") + 3)
-    fixes = materialize(close.withColumn("rivals", F.max("place").over(Window.partitionBy("token"))).select("token", "repaired", "score", "place", "rivals"), "fixes")
-    contested = fixes.where("rivals > 1").select(F.col("repaired").alias("token")).distinct().withColumn("contested", F.lit(True))
-    known = (
-        words.where("n >= 2").join(fixes.select("token"), "token", "left_anti").orderBy(F.desc("n"), "token").limit(TRUSTED)
-        .join(contested, "token", "left").select("token", F.coalesce("contested", F.lit(False)).alias("contested"))
-    )
-    table = known.toArrow()
+    close = corrections(words).withColumn("best", F.min("score").over(own)).where(F.col("score") <= F.col("best") + 3)
+    place = F.row_number().over(own.orderBy("score", "repaired"))
+    fixes = materialize(close.select("token", "repaired", "score", place.alias("place"), F.count("*").over(own).alias("rivals")), "fixes")
+    contested = materialize(fixes.where("rivals > 1").select(F.col("repaired").alias("token")).distinct(), "contested")
+    correct = words.where("n >= 2").join(fixes.select("token"), "token", "left_anti")
+    known = correct.orderBy(F.desc("n"), "token").limit(TRUSTED).join(contested.withColumn("contested", F.lit(True)), "token", "left")
+    table = known.select("token", F.coalesce("contested", F.lit(False))).toArrow()
     shared = spark.sparkContext.broadcast(dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist())))
     seen = materialize(texts.mapInArrow(_look(shared), _SEEN), "seen")
 
@@ -462,7 +485,12 @@ def found_cases(chunks: DataFrame) -> DataFrame:
     heads = materialize(heads.select("id", "line"), "heads")
     pages = seen.where("kind = 'page_number'").select("id", "line")
 
-    bigrams = seen.where("kind = 'bigram'").groupBy("before", "after").agg(F.sum("n").alias("n"))
+    # contested words beyond the broadcast ones stand among the unknown tokens
+    beyond = seen.where("kind = 'word' and n = 1").join(contested, "token", "left_semi")
+    one = F.lit(1).cast("long").alias("n")
+    bigrams = seen.where("kind = 'bigram'").select("before", "after", "n")
+    bigrams = bigrams.unionByName(beyond.select("before", F.col("token").alias("after"), one)).unionByName(beyond.select(F.col("token").alias("before"), "after", one))
+    bigrams = bigrams.groupBy("before", "after").agg(F.sum("n").alias("n"))
     unsure = seen.where("kind in ('word', 'divided')").select("kind", "id", "line", "token", "before", "after", "n")
     offered = unsure.where("kind = 'word'").join(fixes, "token").join(heads, ["id", "line"], "left_anti")
     left = bigrams.select("before", F.col("after").alias("repaired"), F.col("n").alias("n1"))
@@ -474,8 +502,9 @@ def found_cases(chunks: DataFrame) -> DataFrame:
     close = close.withColumn("r", F.row_number().over(order)).where("r = 1")
     misread = clear.select("id", "line", "token", "repaired", "before", "after").unionByName(close.select("id", "line", "token", "repaired", "before", "after"))
 
-    divided = unsure.where("kind = 'divided'").join(fixes.where("place = 1").select("token", F.col("repaired").alias("fixed")), "token", "left")
-    whole = F.when((F.col("n") == 0) & F.col("before").isNotNull(), F.col("before")).when(F.col("n") == 1, F.col("token")).otherwise(F.coalesce("fixed", "token"))
+    divided = unsure.where("kind = 'divided'").withColumnRenamed("before", "compound").join(fixes.where("place = 1").select("token", F.col("repaired").alias("fixed")), "token", "left")
+    divided = divided.join(correct.select("token", F.lit(True).alias("whole")), "token", "left").join(correct.select(F.col("token").alias("compound"), F.lit(True).alias("compounded")), "compound", "left")
+    whole = F.when(F.col("whole"), F.col("token")).when(F.col("compounded"), F.col("compound")).otherwise(F.coalesce("fixed", "token"))
     alone = [F.lit("").alias("before"), F.lit("").alias("after")]
     parts = [
         divided.select("id", "line", F.lit("hyphen").alias("noise"), "token", whole.alias("repaired"), *alone),

@@ -81,3 +81,35 @@ def test_rebuilt_words_are_whole_and_keep_their_neighbours():
     assert noise.rebuild("the (redit wi!! no", [(1, "misread", "(redit", "credit"), (1, "misread", "redit", "edit"), (1, "misread", "wi!", "will")]) == "the credit will! no"
     near = [(1, "misread", "1n", "in", "a", "b"), (1, "misread", "1n", "ln", "b", "c")]
     assert noise.rebuild("a 1n b 1n c", near) == "a in b ln c"
+
+
+def test_the_broadcast_words_change_no_result(spark, monkeypatch):
+    """Two close repairs that the context decides, a compound, and words beyond the broadcast ones."""
+    more = ["the old form and the old farm"] * 3 + ["a green bam and a green barn"] * 3 + ["the peer-reviewed course"] * 3
+    texts = [filler(k) for k in range(12)] + more + ["the o1d form and the peer-\nreviewed course publishcs the cred1t rules", "a grecn bam", "the exarnlnation of the rnodern clty"] + ["the examination of the modern city"] * 4
+    df = chunks(spark, texts)
+    whole = sorted(map(tuple, noise.noise_cases(df).collect()))
+    monkeypatch.setattr(noise, "TRUSTED", 5)
+    assert sorted(map(tuple, noise.noise_cases(df).collect())) == whole
+    # two letters for letters in one word
+    assert {("misread", "examination"), ("misread", "modern"), ("misread", "city"), ("hyphen", "peer-reviewed")} <= {(n, r) for _, _, n, r in whole}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="studeniclrmhgwoab", min_size=4, max_size=12), st.data())
+def test_two_confusions_and_many_marks_meet_their_word(word, data):
+    token, at = "", 0
+    for _ in range(2):
+        places = [(k, o, t) for o, t, _ in noise.CONFUSIONS for k in range(at, len(word)) if word.startswith(t, k)]
+        if places:
+            k, seen, true = data.draw(st.sampled_from(places))
+            token, at = token + word[at:k] + seen, k + len(true)
+    token += word[at:]
+    if token != word and sum(c.isalpha() for c in token) * 2 >= len(token):
+        assert noise.unknown_keys(token) & noise.lexicon_keys(word)
+
+
+def test_tokens_of_many_marks():
+    token, word = "prel!m!naryl!ab!l!tyrncred!tlist", "preliminaryliabilitymcreditlist"
+    assert noise.unknown_keys(token) & noise.lexicon_keys(word) and noise.cost(token, word) is not None
+    assert len(noise.unknown_keys("abcdefghijkl" * 2 + "!" * 16)) < 1000
