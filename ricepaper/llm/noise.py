@@ -76,13 +76,14 @@ _AFFIX = re.compile(rf"^{_N}\s*[|¦·•–-]\s+|\s+[|¦·•–-]\s*{_N}$|\s{{3
 _FOLD = str.maketrans({"1": "i", "l": "i", "!": "i", "|": "i", "0": "o", "5": "s", "$": "s", "+": "t", "(": "c", "€": "c", "e": "c", "@": "a", "9": "g", "8": "b", "6": "b", "ð": "đ", "y": "v", "z": "2"})
 
 
-_PAIRS = re.compile("rn|vv|ii|ri|cl|li")
-_PAIR_OF = {"rn": "m", "vv": "w", "ii": "u", "ri": "n", "cl": "d", "li": "h"}
+_PAIRS = [("rn", "m"), ("vv", "w"), ("ii", "u"), ("ri", "n"), ("cl", "d"), ("li", "h")]
 
 
 def fold(text: str) -> str:
     """A form in which confusable characters, case and blanks no longer differ."""
-    text = _PAIRS.sub(lambda m: _PAIR_OF[m[0]], text.lower())
+    text = text.lower()
+    for seen, true in _PAIRS:
+        text = text.replace(seen, true)
     return " ".join(text.translate(_FOLD).split())
 
 
@@ -92,6 +93,7 @@ _HEAD_STARTS = _STARTS | frozenset(c for c in map(chr, range(0x2000)) if c.isupp
 _LINE_STARTS = _HEAD_STARTS | frozenset(" \t\xa0")
 _ENDS_DIVIDED = re.compile(rf"[{HYPHENS}][ \t\xa0]*\n")
 _CORE_STARTS = frozenset("0123456789|!(€")
+_BULLETS, _NUMBERS = frozenset("-*•·–+"), frozenset("lIOoSBZ|!") | frozenset(c for c in map(chr, range(0x10000)) if c.isdecimal())
 _NO_END = frozenset(".,;:!?" + HYPHENS)
 _TWO_LETTERS = re.compile(r"[^\W\d_]{2}")
 _PAGE_WORDS = frozenset(fold(w) for w in ("trang", "page", "p.", "p", "tr.", "tr", "pg.", "pg", "pp."))
@@ -119,10 +121,11 @@ def header_key(line: str) -> tuple[str, bool] | None:
     # most lines of a paragraph start in lower case, end with a mark or hold the end of a sentence
     if not 4 <= len(s) <= 90 or s[0] not in _HEAD_STARTS or s[-1] in _NO_END or ". " in s:
         return None
-    if _BULLET.match(s):
+    if (s[0] in _BULLETS or s[0].isdigit() or s[1] in ".)") and _BULLET.match(s):
         return None
-    core = _AFFIX.sub("", s).strip()
-    if len(core) < 4 or not (core[0].isupper() or core[0] in _CORE_STARTS) or not _TWO_LETTERS.search(core):
+    # a page number stands at an end
+    core = _AFFIX.sub("", s).strip() if s[0] in _NUMBERS or s[-1] in _NUMBERS else s
+    if len(core) < 4 or not (core[0].isupper() or core[0] in _CORE_STARTS) or not (core[1:3].isalpha() or _TWO_LETTERS.search(core)):
         return None
     return fold(core), core != s
 
@@ -413,6 +416,8 @@ def _look(shared):
                     if k in skip:
                         continue
                     words = line.split()
+                    if plain.issuperset(words):
+                        continue
                     odd = [at for at, w in enumerate(words) if w not in plain]
                     for at in odd:
                         w = words[at]
