@@ -20,12 +20,13 @@ WORDCH = r"\p{L}\p{N}_"
 # Course code forms.
 CODE = r"[A-Z]{2,5}\d{2,4}[A-Z]{0,3}"
 CODE_PREFIX = r"[A-Z]{2,}\d{2,}"
-# Roman numerals and their numbers, longest first.
-ROMAN = {"viii": "8", "iii": "3", "vii": "7", "ii": "2", "iv": "4", "vi": "6", "ix": "9", "i": "1", "v": "5", "x": "10"}
+# Roman numerals and their numbers.
+ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
 # The keyword tokenizer's characters.
 KEYWORD_CHARS = r"A-Za-z\x{c0}-\x{1ef4}\x{e0}-\x{1ef5}0-9_\x{2019}\-"
-# An e-mail address or a run of at least seven digits with phone separators.
-PII = r"[A-Za-z0-9_.+\-]+@[A-Za-z0-9_\-]+\.[A-Za-z0-9_.\-]+|\+?[0-9][0-9\-. ()]{6,}[0-9]"
+# An e-mail address, or at least seven digits with at most one separator before each. The first
+# seven are counted and the rest is taken run by run, so that long runs of digits need no deep stack.
+PII = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}|(?:\+?[0-9]{1,3})?(?:[\s\-.]?[0-9]){7}[0-9]*(?:[\s\-.][0-9]+)*"
 
 
 def strip(c: Column) -> Column:

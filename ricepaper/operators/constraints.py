@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from ricepaper.functions import text as X
 
 # How credits, remaining, current and completed terms are written.
-CREDITS = r"(?i)(\d{1,3}) *(?:tín|tin|credits?)"
-REMAINING = r"(?i)(?:còn|remaining|next|trong) +(\d{1,2}) +(?:học kỳ|kỳ|semesters?|terms?)"
-TERMS = r"(?i)(\d{1,2}) +(?:học kỳ|kỳ|semesters?|terms?)"
-CURRENT = r"(?i)(?:đang học|current)[^0-9]{0,20}(\d{1,2})"
-COMPLETED = r"(?i)(?:hoàn thành|đã qua|completed) +(?:học kỳ|kỳ|semester|term) +(\d{1,2})"
+CREDITS = r"(?iu)(\d{1,9})\s*(?:tín|tin|credits?)"
+REMAINING = r"(?iu)(?:còn|con|remaining|next|trong)\s*(\d{1,9})\s*(?:kỳ|ki|hoc\s*ky|học\s*kỳ|semesters?|terms?)"
+CURRENT = r"(?iu)(?:đang\s*học|current)\s*(?:kỳ|kì|hoc\s*ky|học\s*kỳ|semester)\s*(\d{1,9})"
+COMPLETED = r"(?iu)(?:đã\s*(?:học\s*)?xong|da\s*(?:hoc\s*)?xong|đã\s*hoàn\s*thành|da\s*hoan\s*thanh|hoàn\s*tất|hoan\s*tat|xong)\s*(?:hk|học\s*kỳ|hoc\s*ky|học\s*kì|hoc\s*ki|semester)\s*(\d{1,9})"
 
 
 def _ints(c: Column, pattern: str) -> Column:

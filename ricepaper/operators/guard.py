@@ -9,14 +9,14 @@ from ricepaper.functions import text as X
 
 # Phrases that try to override instructions.
 INJECTIONS = (
-    r"ignore (all )?(previous|prior|above) instructions",
-    r"disregard (all )?(previous|prior|above) (instructions|rules)",
-    r"reveal (the )?(system|hidden) prompt",
-    r"you are now [a-z ]{1,40}",
-    r"act as (an? )?(admin|system|developer)",
+    r"\bignore\s+previous\s+instructions\b",
+    r"\bdisregard\s+all\s+rules\b",
+    r"\bpretend\s+to\s+be\b",
+    r"\bchange\s+the\s+system\s+prompt\b",
+    r"\boverride\b",
 )
 # Words that mark a question about the domain.
-DOMAIN_WORDS = ("course", "credit", "semester", "prerequisite", "curriculum", "plan", "môn", "mon ", "tín chỉ", "học kỳ", "tiên quyết", "chương trình", "kế hoạch")
+DOMAIN_WORDS = ("course", "curriculum", "subject", "prerequisite", "semester", "plan", "schedule", "đồ án", "luận văn", "học phần", "tín chỉ", "tiên quyết", "lộ trình")
 
 
 def strip_injections(c: Column, patterns: tuple[str, ...] = INJECTIONS) -> Column:

@@ -278,6 +278,12 @@ class Hierarchy:
         self.cyclic = self.members.select("node")
         self.cyclic_kept = kept.select("node")
 
+    @cached_property
+    def free(self) -> DataFrame:
+        """``(parent, child)``: the links between nodes off cycles."""
+        free = self.links.join(self.cyclic.withColumnRenamed("node", "parent"), "parent", "left_anti")
+        return materialize(free.join(self.cyclic.withColumnRenamed("node", "child"), "child", "left_anti").select("parent", "child"), "free")
+
     @cached_property
     def heights(self) -> DataFrame:
         """``(node, height, band)`` of the nodes off cycles that are inside no chain."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ricepaper.functions import text as X
 
 # Words that are no keywords.
-STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "của", "cho", "các", "những", "được", "trong", "với", "một", "khi", "không", "này", "theo")
+STOP_WORDS = tuple("and or for the a an of in on at with from by as into to than then that this those these which what when where how why whose while who whom is are was were be been being have has had do does did can could should would may might must shall will".split())
 
 
 def top_keywords(df: DataFrame, key: str, text: str, k: int = 6, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:

@@ -81,8 +81,8 @@ def solve(p: Problem) -> tuple[str, dict[str, int], int]:
 
     Iterates over the last term; for each, a depth-first search fills terms in order. Bounds: the
     credits that still have to be placed against the load left, and for every course the latest term
-    that its longest chain of dependants allows. Electives are chosen, as needed, among the courses
-    that are not required. Each last term has ``seconds``; TIMEOUT means that no plan was found and
+    that its longest chain of dependants allows. Courses that are not required, electives and what
+    they need, are taken or left by the search itself until the electives reach their credits. Each last term has ``seconds``; TIMEOUT means that no plan was found and
     not every last term was searched to its end. After a time-out a plan may not be the least.
     """
     late = False
@@ -98,30 +98,34 @@ def solve(p: Problem) -> tuple[str, dict[str, int], int]:
         return "ERROR", {}, 0
     chosen = set(required)
     have = sum(p.credits[c] for c in chosen & p.electives)
-    if p.electives and p.elective_credits > 0:
-        # cheapest way first: few prerequisites, many terms
-        spare = sorted(p.electives - chosen, key=lambda c: (len(p.before.get(c, ())), -len(p.terms.get(c, ())), -p.credits[c], c))
-        for c in spare:
-            if have >= p.elective_credits:
-                break
-            need, stack = {c}, [c]
-            while stack:
-                for b in p.before.get(stack.pop(), ()):
-                    if b not in chosen and b not in need:
-                        need.add(b)
-                        stack.append(b)
-            if all(x in p.credits and p.terms.get(x) for x in need):
-                chosen |= need
-                have += sum(p.credits[x] for x in need & p.electives)
-        if have < p.elective_credits:
-            return "INFEASIBLE", {}, 0
+    wanted = p.elective_credits if p.electives and p.elective_credits > 0 else 0
+    # the other electives and what they need, prerequisites first; the search may take or leave each
+    spare: list[str] = []
+
+    def add(c: str, on: frozenset) -> bool:
+        if c in chosen or c in spare:
+            return True
+        if c in on or c not in p.credits or not p.terms.get(c) or not all(add(b, on | {c}) for b in sorted(p.before.get(c, ()))):
+            return False
+        spare.append(c)
+        return True
+
+    if wanted or p.low > 0:
+        for c in sorted(p.electives - chosen, key=lambda c: (len(p.before.get(c, ())), -len(p.terms.get(c, ())), -p.credits[c], c)):
+            add(c, frozenset())
+    # elective credits that the rest of the list can still give
+    to_come = [0] * (len(spare) + 1)
+    for k in range(len(spare) - 1, -1, -1):
+        to_come[k] = to_come[k + 1] + (p.credits[spare[k]] if spare[k] in p.electives else 0)
+    if have + to_come[0] < wanted:
+        return "INFEASIBLE", {}, 0
     after: dict[str, set[str]] = {c: set() for c in chosen}
     for c in chosen:
         for b in p.before.get(c, ()):
             if b in after:
                 after[b].add(c)
     total = sum(p.credits[c] for c in chosen)
-    if not chosen:
+    if not chosen and not wanted:
         return "OK", {}, 0
     tail: dict[str, int] = {}
 
@@ -152,32 +156,41 @@ def solve(p: Problem) -> tuple[str, dict[str, int], int]:
         over = False
         order = sorted(chosen, key=lambda c: (-tail[c], len(options[c]), c))
 
-        def search(at: int) -> bool:
+        def search(at: int, got: int) -> bool:
             nonlocal best, over
             if time.monotonic() > clock:
                 over = True
                 return True
-            if at == len(order):
-                if max(placed.values()) != last or any(0 < load[t] < p.low for t in range(p.start, last)):
+            if at >= len(order) and got + to_come[at - len(order)] < wanted:
+                return False
+            if at == len(order) + len(spare):
+                if max(placed.values(), default=p.start) != last or any(0 < load[t] < p.low for t in range(p.start, last)):
                     return False
                 beside = sum(1 for c, t in placed.items() if p.thesis in placed and t == placed[p.thesis] and c != p.thesis)
                 if best is None or beside < best[0]:
                     best = (beside, dict(placed))
                 return beside == 0 or p.thesis not in placed
-            c = order[at]
+            free = at >= len(order)
+            if free and got >= wanted and search(at + 1, got):
+                return True
+            c = spare[at - len(order)] if free else order[at]
+            more = p.credits[c] if free and c in p.electives else 0
+            if free and any(b not in placed for b in p.before.get(c, ())):
+                return got < wanted and search(at + 1, got)
+            open_terms = sorted(t for t in p.terms.get(c, ()) if p.start <= t <= last) if free else options[c]
             floor = max((placed[b] + 1 for b in p.before.get(c, ()) if b in placed), default=p.start)
             # fuller terms first, so that loads reach their minimum
-            for t in sorted((t for t in options[c] if t >= floor), key=lambda t: (load[t] == 0, t)):
+            for t in sorted((t for t in open_terms if t >= floor), key=lambda t: (load[t] == 0, t)):
                 if load[t] + p.credits[c] <= p.high:
                     placed[c] = t
                     load[t] += p.credits[c]
-                    if search(at + 1):
+                    if search(at + 1, got + more):
                         return True
                     load[t] -= p.credits[c]
                     del placed[c]
-            return False
+            return free and got < wanted and search(at + 1, got)
 
-        search(0)
+        search(0, have)
         if best is not None:
             return "OK", best[1], 1000 * last + best[0]
         late = late or over

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ricepaper.functions import text as X
@@ -192,6 +193,14 @@ def plan_check(spark, d):
     return planning.plan_violations(good, "scenario_id", tree.free, _courses(spark, d), 0, 24)
 
 
+def plan_violations(spark, d):
+    """Rules that a made plan breaks: every course once, the terms dealt out by the order of ids, 5 to 24 credits a term."""
+    place = F.row_number().over(Window.partitionBy("area1").orderBy("id"))
+    dealt = _courses(spark, d).select("id", F.coalesce(F.get("area", F.lit(0)), F.lit("")).alias("area1"), F.col("credits.total").alias("credits"))
+    plan = dealt.select(F.col("area1").alias("scenario"), F.col("id").alias("course_id"), (place % HORIZON + 1).alias("term"), "credits")
+    return planning.plan_violations(plan, "scenario", materialize(_links(spark, d), "links"), _courses(spark, d), 5, 24)
+
+
 def plan_render(spark, d):
     plans, _ = _plans(spark, d)
     return rendering.render_plan(plans, "scenario_id")
@@ -231,7 +240,7 @@ def generated_answers(spark, d):
     return made.select("answer_id", "answer", "error")
 
 
-QUERIES = {f.__name__: f for f in (alias_build, alias_update, alias_exact, alias_not_found, alias_contained, alias_fuzzy, alias_cascade, query_expansion, chunk_course_ids, kg_validate, kg_adjacency, kg_stats, kg_closure, kg_edge_evidence, kg_paths, kg_levels, kg_course_detail, kg_findings, kg_relevant, kg_execute, intent_label, route_decision, constraint_parse, constraint_current_term, plan_grid, plan_graph, plan_solve, plan_check, plan_render, prerequisite_answers, lookup_answers, json_extract_robust, router_replies, generated_answers)}
+QUERIES = {f.__name__: f for f in (alias_build, alias_update, alias_exact, alias_not_found, alias_contained, alias_fuzzy, alias_cascade, query_expansion, chunk_course_ids, kg_validate, kg_adjacency, kg_stats, kg_closure, kg_edge_evidence, kg_paths, kg_levels, kg_course_detail, kg_findings, kg_relevant, kg_execute, intent_label, route_decision, constraint_parse, constraint_current_term, plan_grid, plan_graph, plan_solve, plan_check, plan_violations, plan_render, prerequisite_answers, lookup_answers, json_extract_robust, router_replies, generated_answers)}
 
 _ALIASES = f"""
     al AS (SELECT DISTINCT * FROM (
@@ -264,22 +273,37 @@ _CODES = sql_ordered_distinct(sql_codes("query"))
 _INTENT = f"CASE WHEN {_any(routing.PLANNING)} THEN 'course_planning' WHEN {_any(routing.PREREQUISITE)} THEN 'prerequisite_reasoning' WHEN len({_CODES}) > 0 AND {_any(routing.LOOKUP)} THEN 'course_lookup' ELSE 'generic' END"
 
 
+_CREDITS = r"(?i)(\d{1,9})\s*(?:tín|tin|credit)"
+_REMAINING = r"(?i)(?:còn|con|remaining|next|trong)\s*(\d{1,9})\s*(?:kỳ|ki|hoc\s*ky|học\s*kỳ|semester|term)"
+_CURRENTLY = r"(?i)(?:đang\s*học|current)\s*(?:kỳ|kì|hoc\s*ky|học\s*kỳ|semester)\s*(\d{1,9})"
+_COMPLETED = r"(?i)(?:đã\s*xong|đã\s*học\s*xong|da\s*xong|da\s*hoc\s*xong|đã\s*hoàn\s*thành|da\s*hoan\s*thanh|hoàn\s*tất|hoan\s*tat|xong)\s*(?:hk|học\s*kỳ|hoc\s*ky|học\s*kì|hoc\s*ki|semester)\s*(\d{1,9})"
+
+
 def _nums(p):
     return f"list_transform(regexp_extract_all(query, '{p}', 1), lambda x: CAST(x AS INTEGER))"
 
 
 _ASKED = "(SELECT DISTINCT answer_id, query FROM answers WHERE query IS NOT NULL)"
-_CURRENT = f"coalesce(TRY_CAST(nullif(regexp_extract(query, '{constraints.CURRENT}', 1), '') AS INTEGER), list_max({_nums(constraints.COMPLETED)}) + 1)"
+_CURRENT = f"coalesce(TRY_CAST(nullif(regexp_extract(query, '{_CURRENTLY}', 1), '') AS INTEGER), list_max({_nums(_COMPLETED)}) + 1)"
+
+# the first name of the least version, absent ones last, as the operator's docstring has it
+_BUILT = r"""
+    named AS (
+        SELECT id, name['vi'] AS vi, name['en'] AS en, row_number() OVER (
+            PARTITION BY id ORDER BY coalesce(version, ''), name['vi'] IS NULL, name['vi'], name['en'] IS NULL, name['en']) AS place
+        FROM knowledge_graph WHERE id IS NOT NULL),
+    built AS (
+        SELECT id, list_distinct(list_filter([id, vi, en, CASE WHEN length(id) >= 6 AND regexp_full_match(id, '[A-Z]{2,4}\d{2,3}[A-Z]{0,3}')
+            THEN rtrim(regexp_replace(id, '^([A-Z]{2,4})(\d{2,3})([A-Z]{0,3})$', '\1 \2 \3')) END], lambda x: x IS NOT NULL AND x <> '')) AS made
+        FROM named WHERE place = 1)"""
 
 SQL = {
-    "alias_build": r"""
-        WITH r AS (SELECT id, arg_min(name, version) AS name FROM knowledge_graph WHERE id IS NOT NULL AND name['vi'] IS NOT NULL AND name['en'] IS NOT NULL AND version IS NOT NULL GROUP BY id)
-        SELECT id AS canonical, CAST(len(list_distinct(list_filter([id, name['vi'], name['en'], CASE WHEN length(id) >= 6 AND regexp_full_match(id, '[A-Z]{2,4}\d{2,3}[A-Z]{0,3}')
-            THEN rtrim(regexp_replace(id, '^([A-Z]{2,4})(\d{2,3})([A-Z]{0,3})$', '\1 \2 \3')) END], lambda x: x IS NOT NULL AND x <> ''))) AS INTEGER) AS n_aliases FROM r""",
-    "alias_update": """
-        SELECT canonical, string_agg(a, '|' ORDER BY a COLLATE C) AS aliases FROM (
-            SELECT canonical, unnest(aliases) AS a FROM aliases WHERE canonical IS NOT NULL UNION SELECT id, id FROM knowledge_graph WHERE id IS NOT NULL
-        ) WHERE a IS NOT NULL GROUP BY canonical""".replace(" COLLATE C", ""),
+    "alias_build": f"WITH {_BUILT} SELECT id AS canonical, CAST(len(made) AS INTEGER) AS n_aliases FROM built",
+    "alias_update": f"""
+        WITH {_BUILT}
+        SELECT canonical, string_agg(a, '|' ORDER BY a) AS aliases FROM (
+            SELECT canonical, unnest(aliases) AS a FROM aliases WHERE canonical IS NOT NULL UNION SELECT id, unnest(made) FROM built
+        ) WHERE a IS NOT NULL GROUP BY canonical""",
     "alias_exact": f"""
         WITH {_ALIASES}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY (alias_pos >= 0), canonical, alias_pos) AS r FROM tab)
         SELECT key AS token, canonical, alias AS matched, CASE WHEN alias_pos < 0 THEN 'exact' ELSE 'exact-alias' END AS method, CASE WHEN alias_pos < 0 THEN 1.0 ELSE 0.98 END::DOUBLE AS confidence FROM r WHERE r = 1""",
@@ -336,9 +360,9 @@ SQL = {
             round(greatest(0.0, least(1.0, coalesce(score, 0.0))), 6) AS confidence, CASE WHEN it = 'course_planning' THEN 'SLOW' ELSE 'FAST' END AS route,
             CASE WHEN it = 'generic' THEN 'course_lookup' ELSE it END AS intent, array_to_string(list_sort(codes), ',') AS entities FROM i""",
     "constraint_parse": f"""
-        SELECT answer_id, list_min({_nums(constraints.CREDITS)}) AS min_credits, list_max({_nums(constraints.CREDITS)}) AS max_credits, list_max({_nums(constraints.REMAINING)}) AS terms_remaining,
+        SELECT answer_id, list_min({_nums(_CREDITS)}) AS min_credits, list_max({_nums(_CREDITS)}) AS max_credits, list_max({_nums(_REMAINING)}) AS terms_remaining,
             {_CURRENT} AS current_term, array_to_string({_CODES}, ',') AS completed_courses,
-            coalesce(nullif(list_min({_nums(constraints.CREDITS)}), 0), 14) AS plan_min, coalesce(nullif(list_max({_nums(constraints.CREDITS)}), 0), 24) AS plan_max FROM {_ASKED}""",
+            coalesce(nullif(list_min({_nums(_CREDITS)}), 0), 14) AS plan_min, coalesce(nullif(list_max({_nums(_CREDITS)}), 0), 24) AS plan_max FROM {_ASKED}""",
     "constraint_current_term": f"""
         WITH {_COURSE}, f AS (SELECT id, CASE WHEN semester = 'all' THEN 1 ELSE list_min(CAST(CASE WHEN semester <> 'all' THEN semester END AS INTEGER[])) END AS first FROM cs),
         q AS (SELECT answer_id, unnest({_CODES}) AS code FROM {_ASKED}),
@@ -350,7 +374,15 @@ SQL = {
     "plan_graph": f"""
         WITH {_LINKS}, gone AS (SELECT DISTINCT unnest({_CODES}) AS id FROM {_ASKED} WHERE contains(lower(query), 'finished'))
         SELECT parent, child FROM links WHERE parent NOT IN (SELECT id FROM gone) AND child NOT IN (SELECT id FROM gone)""",
-    "plan_check": "SELECT CAST(NULL AS BIGINT) AS scenario_id, CAST(NULL AS VARCHAR) AS rule, CAST(NULL AS VARCHAR) AS detail WHERE false",
+    "plan_violations": f"""
+        WITH {_LINKS}, {_COURSE},
+        dealt AS (SELECT id, coalesce(area[1], '') AS s, semester, credits.total AS credits FROM cs),
+        plan AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY id) % 8 + 1 AS term FROM dealt),
+        load AS (SELECT s, term, sum(credits) AS credits, max(term) OVER (PARTITION BY s) AS last FROM plan GROUP BY s, term)
+        SELECT s AS scenario, 'offered' AS rule, id AS detail FROM plan
+        WHERE NOT coalesce(semester = 'all' OR list_contains(TRY_CAST(CASE WHEN semester <> 'all' THEN semester END AS BIGINT[]), term), false)
+        UNION ALL SELECT b.s, 'order', b.id FROM plan b JOIN links l ON l.child = b.id LEFT JOIN plan a ON a.id = l.parent AND a.s = b.s WHERE a.term IS NULL OR a.term >= b.term
+        UNION ALL SELECT s, 'load', CAST(term AS VARCHAR) FROM load WHERE credits > 24 OR (term < last AND credits < 5)""",
     "lookup_answers": f"WITH {_COURSE} SELECT id, {_SHOWN} || ': ' || concat_ws('; ', credits.total || ' credits', 'offered in ' || {_SEM}, lower(compulsory)) || '.' AS answer FROM cs",
     "json_extract_robust": "SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NULL OR NOT json_valid(props) AS failed FROM events",
     "router_replies": f"SELECT answer_id, CASE WHEN contains(query, 'plan') THEN 'SLOW' ELSE 'FAST' END AS route, CASE WHEN length(query) > 60 THEN 1.5 ELSE 0.5 END::DOUBLE AS confidence, length(query) <= 60 AS valid FROM {_ASKED}",

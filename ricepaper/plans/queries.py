@@ -54,10 +54,9 @@ SQL: dict[str, str] = {
         UNION ALL SELECT n, 'blocked', '', -1, '' FROM ends WHERE n NOT IN (SELECT n FROM cyc) AND n NOT IN (SELECT n FROM paths)""",
     "p4_descendants": f"""
         WITH RECURSIVE {_LINKS},
-        d AS (SELECT p AS a, c AS b FROM free UNION SELECT d.a, f.c FROM d JOIN free f ON f.p = d.b),
-        k AS (SELECT a, count(*) AS many FROM d GROUP BY a)
-        SELECT n AS course_id, d.b AS descendant_id, coalesce(k.many, 0) AS subtree_size
-        FROM ends LEFT JOIN d ON d.a = n LEFT JOIN k ON k.a = n WHERE n NOT IN (SELECT n FROM cyc)""",
+        k AS (SELECT a, count(*) AS many FROM reach GROUP BY a)
+        SELECT n AS course_id, reach.b AS descendant_id, coalesce(k.many, 0) AS subtree_size
+        FROM ends LEFT JOIN reach ON reach.a = n LEFT JOIN k ON k.a = n""",
     **text_queries.SQL,
     **search_queries.SQL,
     **course_queries.SQL,

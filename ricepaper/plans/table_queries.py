@@ -86,7 +86,10 @@ QUERIES = {f.__name__: f for f in (upsert_latest, dedupe_ordered, index_build, p
 SQL = {
     "upsert_latest": "SELECT id, strftime(max(indexed_at), '%Y-%m-%d %H:%M:%S') AS indexed_at, count(*) AS n_rows FROM chunks WHERE id IS NOT NULL GROUP BY id",
     "dedupe_ordered": f"SELECT chunk_id, array_to_string(list_filter(course_ids, lambda x, i: list_position(course_ids, x) = i), ',') AS course_ids FROM ({sql_chunk_rows()}) WHERE course_ids IS NOT NULL",
-    "html_visible": "SELECT doc_id, chr(10) || coalesce(source, '') || chr(10) || chr(10) || 'a&b' || chr(10) AS text FROM documents",
+    "html_visible": r"""
+        WITH page AS (SELECT doc_id, '<p>' || coalesce(source, '') || '</p>' || coalesce(text, '') || '<b>a&amp;b</b>' AS p FROM documents),
+        bare AS (SELECT doc_id, regexp_replace(regexp_replace(p, '(?s)<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g') AS t FROM page)
+        SELECT doc_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS text FROM bare""",
     "prompt_parts": f"""
         SELECT DISTINCT answer_id, 'be brief' AS system, regexp_replace('EVIDENCE: none' || chr(10) || 'QUESTION: ' || query, '[{X.WS}]+$', '') AS user, 'none' AS evidence,
             CASE WHEN length(query) > 20 THEN substr(query, 1, 20) || '…' ELSE query END AS preview FROM answers WHERE query IS NOT NULL""",

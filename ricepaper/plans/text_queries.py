@@ -154,7 +154,7 @@ _KEYWORDS = f"""
         SELECT chunk_id, w, count(*) AS n, min(pos) AS first FROM (
             SELECT chunk_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
             FROM (SELECT chunk_id, regexp_extract_all(lower(text), '([{X.KEYWORD_CHARS}]+)', 1) AS ws FROM rows WHERE text IS NOT NULL)
-        ) WHERE length(w) > 2 AND w NOT IN ({', '.join(f"'{w}'" for w in keywords.STOP_WORDS)}) GROUP BY ALL
+        ) WHERE length(w) > 2 AND w NOT IN (SELECT unnest(string_split('and or for the a an of in on at with from by as into to than then that this those these which what when where how why whose while who whom is are was were be been being have has had do does did can could should would may might must shall will', ' '))) GROUP BY ALL
     ),
     tops AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY n DESC, first) AS r FROM words),
     kept AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY r) AS k FROM tops WHERE r <= 12 AND regexp_matches(w, '\\p{{L}}')),
@@ -162,11 +162,15 @@ _KEYWORDS = f"""
 
 
 def _sql_between_injections(c: str) -> str:
-    for p in guard.INJECTIONS:
-        c = f"regexp_replace({c}, '{p.replace(chr(39), chr(39) * 2)}', '', 'gi')"
+    for words in ("ignore previous instructions", "disregard all rules", "pretend to be", "change the system prompt", "override"):
+        c = f"regexp_replace({c}, '\\b" + words.replace(" ", "\\s+") + "\\b', '', 'gi')"
     return c
 
 
+_PII = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}|(?:\+?\d{1,3})?(?:[\s\-.]?\d){7,}"
+_DOMAIN = "course curriculum subject prerequisite semester plan schedule đồ_án luận_văn học_phần tín_chỉ tiên_quyết lộ_trình".replace(" ", "|").replace("_", " ")
+
+
 
 
 def _sql_title(c: str) -> str:
@@ -175,7 +179,7 @@ def _sql_title(c: str) -> str:
 
 
 _INJECTED = sql_strip(_sql_between_injections("query"))
-_MASKED = f"regexp_replace({_INJECTED}, '{X.PII}', '[REDACTED]', 'g')"
+_MASKED = f"regexp_replace({_INJECTED}, '{_PII}', '[REDACTED]', 'g')"
 
 SQL = {
     "text_normalize": f"SELECT doc_id, {sql_normalize('text')} AS clean FROM documents",
@@ -214,13 +218,13 @@ SQL = {
             FROM (SELECT chunk_id, {_sql_title('text')} AS title, ks FROM rows LEFT JOIN keys USING (chunk_id) WHERE text IS NOT NULL)
         )
         SELECT chunk_id, CAST(i - 1 AS INTEGER) AS question_index, qs[i] AS question FROM (SELECT *, unnest(generate_series(1, len(qs))) AS i FROM q)""",
-    "pii_redact": f"SELECT doc_id, regexp_replace(text, '{X.PII}', '[REDACTED]', 'g') AS redacted FROM documents",
+    "pii_redact": f"SELECT doc_id, regexp_replace(text, '{_PII}', '[REDACTED]', 'g') AS redacted FROM documents",
     "input_guard": f"""
         SELECT DISTINCT answer_id, true AS ok, {_MASKED} AS clean_text,
             array_to_string(list_filter([
                 CASE WHEN {_INJECTED} <> {sql_strip('query')} THEN 'injection' END,
                 CASE WHEN {_MASKED} <> {_INJECTED} THEN 'pii' END,
-                CASE WHEN NOT ({' OR '.join(f"contains(lower({_MASKED}), '{w}')" for w in guard.DOMAIN_WORDS)}) THEN 'out_of_domain' END], lambda x: x IS NOT NULL), ',') AS issues
+                CASE WHEN NOT regexp_matches(lower({_MASKED}), '{_DOMAIN}') THEN 'out_of_domain' END], lambda x: x IS NOT NULL), ',') AS issues
         FROM answers WHERE query IS NOT NULL
         UNION ALL SELECT DISTINCT answer_id, true, NULL, '' FROM answers WHERE query IS NULL""",
     "output_guard": f"SELECT DISTINCT answer_id, coalesce(regexp_matches(answer, '(?i)(^|\\n)[{WS}]*citations:'), false) AS cited FROM answers",

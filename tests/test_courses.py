@@ -155,3 +155,17 @@ def test_a_time_out_proves_nothing(monkeypatch):
     monkeypatch.setattr(planning.time, "monotonic", lambda: next(ticks, 100.0))
     status, plan, goal = planning.solve(problem())
     assert status == "OK" and goal == 3000 and plan["A"] < plan["B"]
+
+
+def test_electives_are_part_of_the_search():
+    p = planning.Problem({"R": 24, "E1": 15, "E2": 15}, {"R": {1}, "E1": {1}, "E2": {2}}, {}, {"R"}, low=0, high=24, electives={"E1", "E2"})
+    assert planning.solve(p) == ("OK", {"R": 1, "E2": 2}, 2000)
+    # an elective brings what it needs, and electives may fill a term to its least load
+    p = planning.Problem({"R": 9, "E": 15, "B": 6}, {"R": {1, 2, 3}, "E": {3}, "B": {1, 2}}, {"E": {"B"}}, {"R"}, low=5, high=24, electives={"E"})
+    status, plan, _ = planning.solve(p)
+    assert status == "OK" and plan["E"] == 3 and plan["B"] < 3
+    p = planning.Problem({"R": 9, "E": 14}, {"R": {1}, "E": {2}}, {}, {"R"}, low=0, electives={"E"})
+    assert planning.solve(p)[0] == "INFEASIBLE"
+    # the thesis stands in the last term, beside as few others as possible
+    p = planning.Problem({"R": 9, "E": 15, "T": 10}, {"R": {1, 2}, "E": {1, 2}, "T": {2}}, {"T": {"R"}}, {"R", "T"}, low=0, electives={"E"}, thesis="T")
+    assert planning.solve(p) == ("OK", {"R": 1, "E": 1, "T": 2}, 2000)

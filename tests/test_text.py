@@ -101,3 +101,14 @@ def test_html_visible_takes_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: " ".join(r.text.split()) for r in table_queries.html_visible(spark, str(tmp_path)).collect()}
     assert got == {1: "s one two & a < b a&b", 2: "plain text a&b", 3: "s a&b"}
+
+
+def test_phone_numbers_of_seven_digits_and_long_runs(spark):
+    assert one(spark, "call 1234567 now", X.redact) == "call[REDACTED] now"
+    assert one(spark, "123456 is short, x@y.z too", X.redact) == "123456 is short, x@y.z too"
+    assert one(spark, "1" * 50_000, X.redact) == "[REDACTED]"
+
+
+def test_phrases_that_override(spark):
+    for phrase in ("disregard all rules", "Pretend  to be", "change the system prompt", "OVERRIDE"):
+        assert one(spark, f"course {phrase}", guard.strip_injections) == "course"
