@@ -39,9 +39,7 @@ def bm25_multi_query_max(spark, d):
     """Each question and its accent-free spelling, merged by the best score."""
     q = _questions(spark, d)
     both = q.select("query_id", F.lit(0).alias("v"), "query").unionByName(q.select("query_id", F.lit(1).alias("v"), X.strip_accents(F.col("query")).alias("query")))
-    found = sparse.scores(_index(spark, d), both.withColumn("qid", F.struct("query_id", "v")), "qid", "query")
-    order = sparse.Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    best = found.withColumn("r", F.row_number().over(order)).where("r <= 12")
+    best = sparse.top_k(_index(spark, d), both.withColumn("qid", F.struct("query_id", "v")), "qid", "query", 12, hits_only=True)
     return sparse.merge_queries(best, F.col("query.query_id").alias("query_id"), 6).select("query_id", "rank", F.col("doc").alias("chunk_id"), "score")
 
 

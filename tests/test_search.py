@@ -85,3 +85,29 @@ def test_evidence_budget(spark):
     r = rendering.pack_evidence(df, "query", "rank", 200, 1200).first()
     assert r.n_blocks == 2 and "[2] SOURCE: unknown" in r.evidence
     assert rendering.pack_evidence(df.where("rank = 4"), "query", "rank", 200, 1200).count() == 0
+
+
+def test_sparse_search_against_all_pairs(spark, monkeypatch):
+    """Frequent, rare and negative terms, repeated words and questions, ties and blocks, against all pairs; no table of pairs is made."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words, size=int(rng.integers(0, 12)), p=[0.5, *[0.5 / 59] * 59])) for _ in range(400)]
+    df = spark.createDataFrame([(f"d{i:03d}", t) for i, t in enumerate(texts)], "id string, text string").repartition(3)
+    asked = [" ".join(rng.choice(words, size=4)) for _ in range(12)] + ["w0", "w0 w0 w3", "w3 w0 w0", "none"]
+    q = spark.createDataFrame(list(enumerate(asked)), "qid int, q string")
+    monkeypatch.setattr(sparse, "BLOCK", 5)
+    index = sparse.build(df, "id", "text")
+    hits: dict = {}
+    for r in sparse.scores(index, q, "qid", "q").collect():
+        hits.setdefault(r["query"], {})[r.doc] = r.score
+    monkeypatch.setattr(sparse, "scores", None)
+    for only in (False, True):
+        got: dict = {}
+        for r in sparse.top_k(index, q, "qid", "q", 7, hits_only=only).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append((r.doc, r.score))
+        for i in range(len(asked)):
+            own = hits.get(i, {})
+            every = own if only else {f"d{n:03d}": own.get(f"d{n:03d}", 0.0) for n in range(len(texts))}
+            want = sorted(every.items(), key=lambda x: (-x[1], x[0]))[:7]
+            assert [d for d, _ in got.get(i, [])] == [d for d, _ in want]
+            assert np.allclose([s for _, s in got.get(i, [])], [s for _, s in want], atol=2e-6)
