@@ -23,7 +23,7 @@ def _questions(spark, d):
 
 
 def _index(spark, d):
-    return sparse.build(chunk_rows(spark, d), "chunk_id", "text")
+    return sparse.build(chunk_rows(spark, d, "text"), "chunk_id", "text")
 
 
 def bm25_term_stats(spark, d):
@@ -132,14 +132,14 @@ def retrieve_citations(spark, d):
 def evidence_pack(spark, d):
     """The 12 best chunks by BM25, packed under the budget."""
     s = sparse.top_k(_index(spark, d), _questions(spark, d), "query_id", "query", 12)
-    rows = s.join(chunk_rows(spark, d).withColumnRenamed("chunk_id", "doc"), "doc")
+    rows = s.join(chunk_rows(spark, d, "text", "source").withColumnRenamed("chunk_id", "doc"), "doc")
     packed = rendering.pack_evidence(rows.select("query", "rank", "source", "text"), "query", "rank", 9000, 1200)
     return packed.select(F.col("query").alias("query_id"), "n_blocks", "n_chars", F.md5("evidence").alias("evidence_md5"))
 
 
 def evidence_list(spark, d):
     s = sparse.top_k(_index(spark, d), _questions(spark, d), "query_id", "query", 3)
-    rows = s.join(chunk_rows(spark, d).withColumnRenamed("chunk_id", "doc"), "doc")
+    rows = s.join(chunk_rows(spark, d, "text", "source").withColumnRenamed("chunk_id", "doc"), "doc")
     return rendering.list_evidence(rows, "query", "rank").select(F.col("query").alias("query_id"), F.md5("evidence").alias("evidence_md5"))
 
 

@@ -111,3 +111,12 @@ def test_sparse_search_against_all_pairs(spark, monkeypatch):
             want = sorted(every.items(), key=lambda x: (-x[1], x[0]))[:7]
             assert [d for d, _ in got.get(i, [])] == [d for d, _ in want]
             assert np.allclose([s for _, s in got.get(i, [])], [s for _, s in want], atol=2e-6)
+
+
+def test_chunk_rows_take_only_the_named_fields(spark):
+    from ricepaper.plans.tables import chunk_rows
+
+    d = "/root/testdata/sf0.001"
+    every, few = chunk_rows(spark, d), chunk_rows(spark, d, "text", "source")
+    assert few.columns == ["chunk_id", "text", "source"] and "course_ids" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert not few.exceptAll(every.select(*few.columns)).count() and few.count() == every.count()
