@@ -73,22 +73,25 @@ def hash_embed(spark, d):
     return rows.select("chunk_id", F.posexplode(v).alias("dim", "value")).where("value > 0").select("chunk_id", "dim", F.round("value", 6).alias("value"))
 
 
-def _embedded(spark, d):
-    rows = chunk_rows(spark, d).select(F.col("chunk_id").alias("doc"), V.hash_embedding(X.tokens(F.coalesce("text", F.lit(""))), DIM).alias("v"))
-    asked = _questions(spark, d).select(F.col("query_id").alias("query"), V.hash_embedding(X.tokens(F.col("query")), DIM).alias("qv"))
-    return materialize(rows, "hashed"), materialize(asked, "askedhash")
+def _asked_vectors(spark, d):
+    words = _questions(spark, d).select(F.col("query_id").alias("query"), X.tokens(F.col("query")).alias("ws"))
+    return materialize(V.hash_embedded(words, "query", "ws", DIM).withColumnRenamed("v", "qv"), "askedhash")
 
 
 def _both(spark, d):
-    rows, asked = _embedded(spark, d)
-    s = sparse.top_k(_index(spark, d), _questions(spark, d), "query_id", "query", 12)
+    """Vectors of chunks and questions, and the results of both searches; the chunks are read and cut into words once."""
+    index, asked = _index(spark, d), _asked_vectors(spark, d)
+    rows = V.hash_embedded(index.words, "doc", "ws", DIM)
+    s = sparse.top_k(index, _questions(spark, d), "query_id", "query", 12)
     v = dense.exact_top_k(rows, asked, "doc", "v", "query", "qv", 20).withColumnRenamed("key", "doc")
     return rows, asked, materialize(s, "sparse"), materialize(v, "dense")
 
 
 def hash_embed_topk(spark, d):
-    rows, asked = _embedded(spark, d)
-    return dense.exact_top_k(rows, asked, "doc", "v", "query", "qv", 20).select(F.col("query").alias("query_id"), "rank", F.col("key").alias("chunk_id"), "score")
+    words = chunk_rows(spark, d, "text").select("chunk_id", X.tokens(F.coalesce("text", F.lit(""))).alias("ws"))
+    rows = V.hash_embedded(words, "chunk_id", "ws", DIM)
+    found = dense.exact_top_k(rows, _asked_vectors(spark, d), "chunk_id", "v", "query", "qv", 20)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("key").alias("chunk_id"), "score")
 
 
 def hybrid_fusion(spark, d):
@@ -126,7 +129,7 @@ def hybrid_retrieve(spark, d):
 
 
 def retrieve_citations(spark, d):
-    return fusion.citations(_retrieved(spark, d), chunk_rows(spark, d)).withColumnRenamed("query", "query_id")
+    return fusion.citations(_retrieved(spark, d), chunk_rows(spark, d, "source")).withColumnRenamed("query", "query_id")
 
 
 def evidence_pack(spark, d):

@@ -120,3 +120,32 @@ def test_chunk_rows_take_only_the_named_fields(spark):
     every, few = chunk_rows(spark, d), chunk_rows(spark, d, "text", "source")
     assert few.columns == ["chunk_id", "text", "source"] and "course_ids" not in few._jdf.queryExecution().optimizedPlan().toString()
     assert not few.exceptAll(every.select(*few.columns)).count() and few.count() == every.count()
+
+
+def test_dense_search_keeps_k_rows_of_a_query_and_task(spark):
+    """Batches of 20 rows: what a task returns does not grow with them; repeated keys take no place."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        vectors = spark.range(1000, numPartitions=1).select("id", F.array(F.cos("id"), F.sin("id"), F.lit(0.5)).alias("v"))
+        vectors = vectors.unionByName(vectors.where("id < 30")).coalesce(1)
+        ask = vectors.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("v").alias("qv")).distinct()
+        found = dense.exact_top_k(vectors, ask, "id", "v", "qid", "qv", 5, exclude_same=True)
+        v = {r.id: np.array(r.v) / np.linalg.norm(r.v) for r in vectors.collect()}
+        for n in (0, 500):
+            want = sorted(((-round(float(v[n] @ x), 6), i) for i, x in v.items() if i != n))[:5]
+            assert [r.key for r in found.where(F.col("query") == n).orderBy("rank").collect()] == [i for _, i in want]
+        kept = []
+        best = dense.Best(1, 5)
+        for s in range(0, 1000, 20):
+            best.add(np.zeros(20, dtype=int), np.arange(s, s + 20) / 1000, dense.pa.array(range(s, s + 20)))
+            kept.append(len(best.rows()[0]))
+        assert max(kept) == 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_hash_embedded_is_hash_embedding(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None), (4, ["ô", "x"])], "k int, ws array<string>")
+    want = {r.k: r.v for r in df.select("k", V.hash_embedding(F.coalesce("ws", F.array().cast("array<string>")), 8).alias("v")).collect()}
+    got = {r.k: r.v for r in V.hash_embedded(df, "k", "ws", 8).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
