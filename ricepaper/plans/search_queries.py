@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ricepaper.functions import text as X
 from ricepaper.functions import vectors as V
 from ricepaper.operators import dense, fusion, rendering, sparse
-from ricepaper.plans.tables import chunk_rows, sql_chunk_rows, table
+from ricepaper.plans.tables import chunk_rows, chunk_texts, sql_chunk_rows, table
 from ricepaper.plans.text_queries import sql_tokens
-from ricepaper.session import materialize
+from ricepaper.session import among, materialize
 
 DIM = 64
 
@@ -79,12 +79,12 @@ def _asked_vectors(spark, d):
 
 
 def _both(spark, d):
-    """Vectors of chunks and questions, and the results of both searches; the chunks are read and cut into words once."""
-    index, asked = _index(spark, d), _asked_vectors(spark, d)
+    """Words of chunks, vectors of questions, and the results of both searches; the chunks are read and cut into words once."""
+    index, asked = sparse.build(chunk_texts(spark, d), "chunk_id", "text"), _asked_vectors(spark, d)
     rows = V.hash_embedded(index.words, "doc", "ws", DIM)
     s = sparse.top_k(index, _questions(spark, d), "query_id", "query", 12)
     v = dense.exact_top_k(rows, asked, "doc", "v", "query", "qv", 20).withColumnRenamed("key", "doc")
-    return rows, asked, materialize(s, "sparse"), materialize(v, "dense")
+    return index.words, asked, materialize(s, "sparse"), materialize(v, "dense")
 
 
 def hash_embed_topk(spark, d):
@@ -119,9 +119,17 @@ def mmr_select_shrinking(spark, d):
     return picked.select(F.col("query").alias("query_id"), "pick", F.col("doc").alias("vec_id"))
 
 
+def _named(rows, key, found):
+    """The rows that a join with the documents ``found`` needs, picked out before anything is shuffled."""
+    hashes = materialize(found.select(F.xxhash64("doc").alias("h")).distinct(), "named")
+    picked = among(rows, key, hashes)
+    return picked[0] if picked else rows
+
+
 def _retrieved(spark, d):
-    rows, asked, s, v = _both(spark, d)
-    return materialize(fusion.retrieve(s, v, rows, asked), "retrieved")
+    words, asked, s, v = _both(spark, d)
+    words = _named(words, "doc", s.select("doc").unionByName(v.select("doc")))
+    return materialize(fusion.retrieve(s, v, V.hash_embedded(words, "doc", "ws", DIM), asked), "retrieved")
 
 
 def hybrid_retrieve(spark, d):
@@ -129,7 +137,8 @@ def hybrid_retrieve(spark, d):
 
 
 def retrieve_citations(spark, d):
-    return fusion.citations(_retrieved(spark, d), chunk_rows(spark, d, "source")).withColumnRenamed("query", "query_id")
+    found = _retrieved(spark, d)
+    return fusion.citations(found, _named(chunk_rows(spark, d, "source"), "chunk_id", found)).withColumnRenamed("query", "query_id")
 
 
 def evidence_pack(spark, d):

@@ -1,4 +1,6 @@
 import math
+from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -149,3 +151,54 @@ def test_hash_embedded_is_hash_embedding(spark):
     want = {r.k: r.v for r in df.select("k", V.hash_embedding(F.coalesce("ws", F.array().cast("array<string>")), 8).alias("v")).collect()}
     got = {r.k: r.v for r in V.hash_embedded(df, "k", "ws", 8).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+
+
+def _shuffle_files(spark):
+    """The shuffle files there are, and their sizes."""
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {p.name: p.stat().st_size for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+
+
+def _chunk_table(spark, folder, rows):
+    meta = "struct<source string, doc_id string, chunk_index int, course_ids array<string>>"
+    made = spark.createDataFrame([(i, t, (s, "d", 0, None), at) for i, t, s, at in rows], f"id string, text string, metadata {meta}, indexed_at timestamp")
+    made.coalesce(2).write.parquet(f"{folder}/chunks.parquet")
+
+
+def test_chunk_texts_are_those_of_chunk_rows(spark, tmp_path, monkeypatch):
+    from ricepaper import session
+    from ricepaper.plans.tables import chunk_rows, chunk_texts
+
+    early, late = datetime(2024, 1, 1), datetime(2025, 1, 1)
+    rows = [("a", "x", "s", early), ("b", None, "s", early), ("c", "no time", "s", None), (None, "no id", "s", early), ("", "blank", "s", late)]
+    rows += [("d", "second", "s", late), ("d", "first", "s", early), ("e", None, "s", early), ("e", "later", "s", late), ("f", "timed", "s", late), ("f", "no time", "s", None), ("g", "same", "s", early), ("g", "same", "s", early)]
+    _chunk_table(spark, tmp_path, rows)
+    want = {"a": "x", "b": None, "c": None, "": "blank", "d": "first", "e": None, "f": "timed", "g": "same"}
+    for most in (session.HASHES, 1):
+        monkeypatch.setattr(session, "HASHES", most)
+        got = chunk_texts(spark, str(tmp_path)).collect()
+        assert len(got) == len(want) and {r.chunk_id: r.text for r in got} == want
+    assert {r.chunk_id: r.text for r in chunk_rows(spark, str(tmp_path), "text").collect()} == want
+
+
+def test_citations_shuffle_neither_all_texts_nor_all_vectors(spark, tmp_path, monkeypatch):
+    from ricepaper import session
+    from ricepaper.plans import search_queries
+
+    rng = np.random.default_rng(11)
+    words = [f"{x:08x}" for x in rng.integers(0, 1 << 32, size=500)]
+    rows = [(f"c{i:05d}", " ".join(rng.choice(words, size=60)), f"s{i % 7}", datetime(2024, 1, 1)) for i in range(4000)]
+    _chunk_table(spark, tmp_path, rows + [(i, t + " later", "z", datetime(2025, 1, 1)) for i, t, _, _ in rows[:40]])
+    spark.createDataFrame([(50, " ".join(words[:3])), (100, words[7])], "answer_id long, query string").write.parquet(f"{tmp_path}/answers.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffle_files(spark)
+        found = sorted(map(tuple, search_queries.retrieve_citations(spark, str(tmp_path)).collect()))
+        written = sum(size for name, size in _shuffle_files(spark).items() if name not in before)
+        assert len(found) == 8 and all(source == f"s{int(chunk[1:]) % 7}" for _, _, source, chunk in found)
+        assert written < 0.1 * sum(len(t) for _, t, _, _ in rows)
+        # more hashes than are broadcast: the same results
+        monkeypatch.setattr(session, "HASHES", 1)
+        assert sorted(map(tuple, search_queries.retrieve_citations(spark, str(tmp_path)).collect())) == found
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
